@@ -93,7 +93,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     batch = uuid.uuid4().hex
     index.append_new(classes, batch)
     held = index.read().select("text_sha256", "batch", F.col("keep_id").alias("held_id"), F.col("keep_uid").alias("held_uid"))
-    settled = scratch.keep(classes.hint("merge").join(held, "text_sha256"))
+    settled = scratch.keep(classes.drop("n_cp", "keep_id", "keep_uid").hint("merge").join(held, "text_sha256"))
     out = _join_hot(rows, settled, rows.count()).select(
         "doc_id",
         F.col("held_id").alias("keep_id"),

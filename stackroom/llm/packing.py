@@ -85,22 +85,24 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_co
 
 
 def _knapsack(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, list[int]]:
-    """The pattern (how many of each size) of largest value that fits."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    for c in range(min(sizes), capacity + 1):
+    """The pattern (how many of each size) of largest value that fits; one round for each piece more."""
+    best, took = np.zeros(capacity + 1), []
+    while True:
+        more, choice = best.copy(), np.full(capacity + 1, -1)
         for k, s in enumerate(sizes):
-            if s <= c and best[c - s] + values[k] > best[c] + 1e-12:
-                best[c], took[c] = best[c - s] + values[k], k
-        if best[c - 1] > best[c]:
-            best[c], took[c] = best[c - 1], -2
+            value = best[: capacity + 1 - s] + values[k]
+            better = value > more[s:] + 1e-12
+            more[s:][better] = value[better]
+            choice[s:][better] = k
+        if (choice < 0).all():
+            break
+        took.append(choice)
+        best = more
     pattern, c = [0] * len(sizes), capacity
-    while c > 0 and took[c] != -1:
-        if took[c] == -2:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= sizes[took[c]]
+    for choice in reversed(took):
+        if choice[c] >= 0:
+            pattern[choice[c]] += 1
+            c -= sizes[choice[c]]
     return best[capacity], pattern
 
 
