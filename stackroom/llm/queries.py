@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackroom.llm import bpe, exact_dedup, packing, sharding, url_filter
+from stackroom.llm import bpe, embedding_dedup, exact_dedup, line_dedup, minhash, packing, sharding, url_filter
 
 URL_RULES = [
     "allow com/",
@@ -22,6 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), bpe.public_path("word_bpe_49k.json"))
 
@@ -30,6 +38,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_round_trip(read(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"))
 
@@ -42,6 +54,29 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (
+  SELECT x, y FROM l
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+c AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links,
+       least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
+"""
+
 OP4_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp,
@@ -78,8 +113,11 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.k = 1
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
+        "op2_embeddings": op2_embeddings,
         "op3_packing": op3_packing,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
         "op7_url_filter": op7_url_filter,
         "op8_sharding": op8_sharding,
@@ -87,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_url_filter": OP7_SQL}
+    return {"op2_embeddings": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_url_filter": OP7_SQL}
