@@ -59,7 +59,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
 l AS (
   SELECT a.vec_id AS x, b.vec_id AS y
