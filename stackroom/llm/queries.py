@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackroom.llm import bpe, embedding_dedup, exact_dedup, line_dedup, minhash, packing, sharding, url_filter
+from stackroom.llm import bpe, embedding_dedup, exact_dedup, line_dedup, minhash, packing, pii, sharding, url_filter
 
 URL_RULES = [
     "allow com/",
@@ -54,6 +54,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e
@@ -121,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_url_filter": op7_url_filter,
         "op8_sharding": op8_sharding,
+        "op10_pii": op10_pii,
     }
 
 
