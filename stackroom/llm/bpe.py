@@ -135,12 +135,8 @@ class TreeEncoder:
         if self.chars > CACHE_CHARS:
             self.known, self.chars = {}, 0
         cut = [self.pieces(t) for t in texts]
-        wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c)
-        wanted.difference_update(self.known)
-        if wanted:
-            self._learn(wanted)
+        if new := set().union(*cut).difference(self.known):
+            self._learn(new)
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
     def decode(self, ids: bytes) -> str:

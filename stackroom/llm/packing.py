@@ -12,6 +12,8 @@ by its length and rank.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import insort
 from collections import defaultdict
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import TreeEncoder, by_chars
+from stackroom.llm.bpe import CACHE_CHARS, RUN, TreeEncoder, by_chars
 from stackroom.llm.common import Scratch
 
 CAPACITY = 4096
@@ -36,22 +38,78 @@ GROUPS = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 
+#: Any character outside this range sends a text to the slower way. Within it every letter is
+#: composed, lower-cases by itself, and white space is the same to every library.
+PLAIN = re.compile("[^\t\n\r -~\u00a1-\u024f]")
+
+
+def _word_pattern() -> re.Pattern:
+    """How the vocabulary cuts lower-cased text: runs of letters, single digits, English endings, runs of other signs."""
+    kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    letter, number = kinds["L"], kinds["N"]
+    return re.compile(f"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letter}{number}]+")
+
+
+WORD = _word_pattern()
+
+
 def words(text: str) -> list[str]:
     """Runs between spaces and line feeds: white space ends a word in the vocabulary and has no ids."""
     return text.replace("\n", " ").split(" ")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where printable, else the next from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)}
+
+
 class WordEncoder(TreeEncoder):
-    """For vocabularies that drop white space: a word's ids don't depend on its neighbours."""
+    """For the vocabulary that lower-cases, drops white space and marks the ends of words.
+
+    The ids of a word don't depend on its neighbours, so each distinct word is encoded once.
+    """
 
     pieces = staticmethod(words)
 
     def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
         super().__init__(path, leaf=1 << 16)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        size = self.tok.get_vocab_size()
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.letters = byte_letters()
 
     def _long(self, piece: str) -> list[int]:
         return self.tok.encode(piece, add_special_tokens=False).ids
 
+    def _learn_words(self, wanted: set[str]) -> None:
+        todo = list(wanted)
+        for i in range(0, len(todo), RUN):
+            some = todo[i : i + RUN]
+            mapped = " ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some)
+            ids = np.array(self.bare.encode(mapped, add_special_tokens=False).ids, "<u4")
+            at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            raw, lo = ids.tobytes(), 0
+            for w, hi in zip(some, at, strict=True):
+                self.known[w] = raw[lo:hi]
+                lo = hi
+        self.chars += sum(map(len, todo))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [not PLAIN.search(t) and "<|" not in t for t in texts]
+        if not all(plain):
+            other = iter(super().encode([t for t, ok in zip(texts, plain) if not ok]))
+        elif self.chars > CACHE_CHARS:
+            self.known, self.chars = {}, 0
+        cut = [WORD.findall(t.lower()) for t, ok in zip(texts, plain) if ok]
+        if new := set().union(*cut).difference(self.known):
+            self._learn_words(new)
+        cut = iter(cut)
+        return [b"".join(map(self.known.__getitem__, next(cut))) if ok else next(other) for ok in plain]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
