@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackroom.llm import bpe, embedding_dedup, exact_dedup, line_dedup, minhash, packing, pii, sharding, url_filter
+from stackroom.llm import bpe, embedding_dedup, exact_dedup, line_dedup, minhash, packing, pii, sharding, toxicity, url_filter
 
 URL_RULES = [
     "allow com/",
@@ -54,6 +54,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents"))
 
@@ -125,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_url_filter": op7_url_filter,
         "op8_sharding": op8_sharding,
+        "op9_toxicity": op9_toxicity,
         "op10_pii": op10_pii,
     }
 
