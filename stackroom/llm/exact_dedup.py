@@ -18,11 +18,16 @@ from stackroom.llm.common import Scratch
 HOT_SHARE = 1 / 256
 
 
+def text_sha256(text_col: str):
+    """Lower-case hex SHA-256 of a text without ASCII white space; null counts as empty."""
+    bare = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "")
+    return F.sha2(bare.cast("binary"), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_sha256, n_cp``: hash of the text without ASCII white space, and code points of the original."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.sha2(bare.cast("binary"), 256).alias("text_sha256"), F.char_length(text).cast("long").alias("n_cp"))
+    n_cp = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), text_sha256(text_col).alias("text_sha256"), n_cp.alias("n_cp"))
 
 
 class DigestIndex:
