@@ -98,7 +98,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(15_485_863), text).alias("t2"))
     lines = scratch.keep(line_table(docs, min_words))
     spans = scratch.keep(merged(later_copies(scratch, lines)))
-    out = docs.join(spans.select(F.col("doc_id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "spans"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
+    # The spans grow with the corpus: they meet the texts by sort-merge at every size.
+    out = docs.join(spans.select(F.col("doc_id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "spans").hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
     out = out.withColumn("lines", F.split("text", "\n", -1)).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
     ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["hi"]))
     starts = F.concat(F.transform("spans", lambda s: s["lo"]), F.array(F.col("n_lines")))
