@@ -7,10 +7,12 @@
     the common order "rarest first" they meet in a list among their first
     ``held - C + 1`` values, and only those lists are kept. A passage that many documents
     share is frequent, comes last, and so makes no list unless it is most of a document.
-3.  In each list everybody is compared with one leader, twice with different leaders; only
-    pairs of one list that are still in different components are then compared in full.
-    A list of n near copies costs a few times n comparisons; no pair that could join two
-    components is left out.
+3.  The classes in a list of two or more are few. Lists are made of them once more, of all
+    their values, so that the share of a pair's own sizes takes the place of the six
+    deviations. In each such list everybody is compared with one leader, twice with different
+    leaders; only pairs of one list that are still in different components are then compared
+    in full. A list of n copies of one text costs a few times n comparisons; no pair that
+    could join two components is left out.
 4.  A pair passes the union sketch's estimate, then exact Jaccard on the full sets.
 
 Shingles are compared by 63-bit hashes; two different shingles of a pair collide with
@@ -94,23 +96,29 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id binary, shingles array<long>")
 
 
-def prefix_lists(entries: DataFrame, k: int, percent: int) -> DataFrame:
-    """``v, id, n``: each class with the retained values through which it can meet a linked class."""
+def prefix_lists(entries: DataFrame, held_at_most, need) -> DataFrame:
+    """``v, id, n, rank, gap``: each class with the values through which it can meet a linked class.
+
+    ``entries`` has a class's retained values, ``held_at_most`` of them, of which a linked
+    class shares ``need``. ``rank`` counts them from the rarest on; ``gap`` of them no other class has.
+    """
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    held = entries.join(shared, "v")
     own = Window.partitionBy("id")
-    # A class whose linked classes all fit in a sketch shares its share of its own set.
-    need = F.when(F.col("n") * 100 <= k * percent, F.expr(f"(n * {percent} + 99) div 100")).otherwise(F.lit(least_shared(k, percent)))
-    return (
-        held.withColumn("rank", F.row_number().over(own.orderBy("df", "v")))
-        .withColumn("held", F.count("*").over(own))
-        .where(F.col("rank") <= F.col("held") - need + 1)
-        .select("v", "id", "n")
-    )
+    held = entries.join(shared, "v").withColumn("gap", held_at_most - F.count("*").over(own))
+    return held.withColumn("rank", F.col("gap") + F.row_number().over(own.orderBy("df", "v"))).where(F.col("rank") <= held_at_most - need + 1).select("v", "id", "n", "rank", "gap")
+
 
+def _can_link(a: str, b: str, percent: int):
+    """Whether a value of these ranks can be the rarest that the full sets of a linked pair share.
+
+    Such a pair shares at least percent / (100 + percent) of the sum of its sizes.
+    """
+    least = F.expr(f"({percent} * (n_{a} + n_{b}) + {99 + percent}) div {100 + percent}")
+    return (F.col(f"rank_{a}") <= F.col(f"n_{a}") - least + 1) & (F.col(f"rank_{b}") <= F.col(f"n_{b}") - least + 1)
 
-def _similar_size(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+def _side(lists: DataFrame, x: str) -> DataFrame:
+    return lists.select("v", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("rank").alias(f"rank_{x}"), F.col("component").alias(f"c_{x}"))
 
 
 class _Links:
@@ -157,31 +165,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.keep(some.groupBy("set_id").agg(first, F.min("n").alias("n")).select("set_id", "n", F.col("f.uid").alias("id"), F.col("f.doc_id").alias("doc_id")))
 
     reps = some.select(F.col("uid").alias("id"), "sketch").join(classes.select("id", "n"), "id")
-    lists = scratch.keep(prefix_lists(reps.select("id", "n", F.explode("sketch").alias("v")), k, percent))
-    long_ = lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    lists = scratch.keep(lists.join(long_.select("v"), "v"))
-    near = scratch.keep(lists.select("id").distinct().join(classes, "id"))
+    # A class whose linked classes all fit in a sketch shares its share of its own set.
+    exact = F.expr(f"(n * {percent} + 99) div 100")
+    need = F.when(F.col("n") * 100 <= k * percent, exact).otherwise(F.lit(least_shared(k, percent)))
+    lists = scratch.keep(prefix_lists(reps.select("id", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(k)), need).select("v", "id"))
+    near = lists.join(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v")
+    near = scratch.keep(near.select("id").distinct().join(classes, "id"))
+    scratch.drop(lists)
     sketch = scratch.keep(rows.select(F.col("uid").alias("id"), "sketch").join(near.select("id"), "id"))
     # The texts of those classes alone are shingled again, for their full sets.
     wanted = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    sets = full_sets(wanted, words).join(near.select("set_id", "id"), "set_id").select("id", "shingles")
-    sets = scratch.keep(sets)
+    sets = full_sets(wanted, words).join(near.select("set_id", "id", "n"), "set_id").select("id", "n", "shingles")
+    sets = scratch.keep(sets.dropDuplicates(["id"]))
+    # Among them the same lists once more, now of all values: no slack for chance is needed.
+    lists = scratch.keep(prefix_lists(sets.select("id", "n", F.explode("shingles").alias("v")), F.col("n"), exact))
 
     links = _Links(scratch, sketch, sets, k, percent)
     member = near.select("id", F.col("id").alias("component"))
     for turn in range(leader_rounds):
+        # First the class with the least of its own, which a group's copies resemble most; then any.
+        order = F.col("gap") / F.col("n") if turn == 0 else F.xxhash64("id", F.lit(turn))
         at = lists.join(member, "id")
-        lead = at.groupBy("v").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "component")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        lead = lead.where("lo <> hi").select("v", F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.component").alias("lead_c"))
-        pairs = at.join(lead, "v").where((F.col("component") != F.col("lead_c")) & _similar_size("n", "lead_n", percent))
-        links.confirm(pairs.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+        lead = at.groupBy("v").agg(F.min(F.struct(order.alias("order"), "id", "n", "rank", "component")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        lead = lead.where("lo <> hi").select("v", "l.id", "l.n", "l.rank", "l.component")
+        pairs = _side(at, "b").join(_side(lead, "a"), "v").where((F.col("c_a") != F.col("c_b")) & _can_link("a", "b", percent))
+        links.confirm(pairs.select("a", "b").distinct())
         member = scratch.keep(_membership(near, components(scratch, links.found)))
     at = lists.join(member, "id")
     apart = at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
     at = scratch.keep(at.join(apart, "v"))
-    left = at.select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = at.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = left.join(right, (left["v"] == right["v"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _similar_size("n_a", "n_b", percent))
+    left, right = _side(at, "a"), _side(at, "b")
+    rest = left.join(right, (left["v"] == right["v"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _can_link("a", "b", percent))
     links.confirm(rest.select("a", "b").distinct().join(links.tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
 
     found = components(scratch, links.found)
