@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import by_chars
+from stackroom.llm.bpe import text_slices
 from stackroom.llm.common import Scratch
 
 #: Labelled documents of each class from which marks are found, the first by a hash of their id.
@@ -77,10 +77,10 @@ def find_marks(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float, flo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in by_chars([t or "" for t in b.column(0).to_pylist()], 1_000_000):
+            for s, texts in text_slices(b.column(0)):
                 tally: list[Counter] = [Counter(), Counter()]
-                for t, y in zip(b.column(0)[s].to_pylist(), b.column(1)[s].to_pylist()):
-                    tally[y].update(marks_of(t or ""))
+                for t, y in zip(texts, b.column(1)[s].to_pylist()):
+                    tally[y].update(marks_of(t))
                 names = list(tally[0] | tally[1])
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[0][n] for n in names], pa.int64()), pa.array([tally[1][n] for n in names], pa.int64())], names=["mark", "n0", "n1"])
 
@@ -123,10 +123,9 @@ def vote(docs: DataFrame, marks: list[tuple[str, float, float, bool]], voter: np
         heads = {w[:3] for w in begin}
         for b in batches:
             ids = b.column(0)
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for s in by_chars(texts):
+            for s, texts in text_slices(b.column(1)):
                 votes, cols, counts = [], [], []
-                for t in texts[s]:
+                for t in texts:
                     seen: Counter = Counter()
                     for w in set(WORD.findall(t.lower())):
                         if w in whole:
@@ -169,7 +168,7 @@ def _tree(v: np.ndarray, weight: np.ndarray) -> list[int]:
     return parent
 
 
-def label_model(votes: np.ndarray, n: np.ndarray, n_known: np.ndarray, n_voters: int = VOTERS, rounds: int = 60) -> np.ndarray:
+def label_model(votes: np.ndarray, n: np.ndarray, n_known: np.ndarray, n_voters: int = VOTERS, rounds: int = 500) -> np.ndarray:
     """Posterior of the toxic class for each distinct vote vector.
 
     ``n`` documents have the vector; of them ``n_known[:, y]`` are labelled y. The model is a
