@@ -46,7 +46,7 @@ def strip_markers(base: Column, rounds: int = MARKER_ROUNDS) -> Column:
     """
     for _ in range(rounds):
         for marker in MARKERS:
-            base = F.regexp_replace(base, r"(?s)^(.*?[^ _.\-])" + marker, "$1")
+            base = F.regexp_replace(base, f"(?s)^(?!{marker})" + r"(.*?[^ _.\-])" + marker, "$1")
     return base
 
 
