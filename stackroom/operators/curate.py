@@ -74,7 +74,8 @@ def version_members(files: DataFrame) -> DataFrame:
     one = one.withColumn("members", F.count("*").over(group)).withColumn("any_marked", F.max("marked").over(group)).where("members > 1 AND any_marked")
     one = one.withColumn("numbers", F.size(F.collect_set("number").over(group)))
     first = F.row_number().over(group.orderBy(F.when(F.col("numbers") == F.col("members"), F.col("number")).desc_nulls_last(), F.coalesce("mtime_ns", F.lit(0)).desc(), F.desc("size_bytes"), "id"))
-    return one.withColumn("is_preferred", first == 1).drop("any_marked")
+    content = F.when(~F.col("key").startswith("file:"), F.col("key"))
+    return one.withColumn("is_preferred", first == 1).withColumn("content_id", content).drop("any_marked")
 
 
 def version_sets(members: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ one row with an error. Files are opened by nobody here.
 from __future__ import annotations
 
 import os
+import re
 import stat as st
 from collections import deque
 from collections.abc import Iterator
@@ -14,10 +15,30 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from stackroom.functions.predicates import glob_regex
+
 SCHEMA = "dir string, name string, is_dir boolean, attributes long, size long, alloc_size long, mtime_ns long, ctime_ns long, file_id long, nlink int, stat_failed boolean, error string"
 
 
-def list_directory(path: str, prune=frozenset()) -> Iterator[tuple]:
+def pruner(root: str, patterns: list[str]):
+    """Whether an entry is left out: patterns with a separator match the path below the root, others the name."""
+    names = [re.compile(glob_regex(p)) for p in patterns if "/" not in p and "\\" not in p]
+    paths = [re.compile(glob_regex(p.replace("\\", "/"))) for p in patterns if "/" in p or "\\" in p]
+
+    def left_out(folder: str, name: str) -> bool:
+        low = name.lower()
+        if any(p.match(low) for p in names):
+            return True
+        return bool(paths) and any(p.match(os.path.relpath(os.path.join(folder, name), root).lower()) for p in paths)
+
+    return left_out
+
+
+def nothing(folder: str, name: str) -> bool:
+    return False
+
+
+def list_directory(path: str, prune=nothing) -> Iterator[tuple]:
     """Rows of one directory."""
     try:
         with os.scandir(path) as found:
@@ -26,7 +47,7 @@ def list_directory(path: str, prune=frozenset()) -> Iterator[tuple]:
         yield path, "", True, 0, 0, 0, 0, 0, None, 0, True, e.strerror or str(e)
         return
     for e in entries:
-        if e.name.lower() in prune:
+        if prune(path, e.name):
             continue
         name = e.name.encode("utf-8", "replace").decode()
         try:
@@ -39,7 +60,7 @@ def list_directory(path: str, prune=frozenset()) -> Iterator[tuple]:
         yield path, name, folder, attributes, s.st_size, s.st_blocks * 512, s.st_mtime_ns, s.st_ctime_ns, s.st_ino, s.st_nlink, False, None
 
 
-def walk(root: str, prune=frozenset(), deep: bool = True) -> Iterator[tuple]:
+def walk(root: str, prune=nothing, deep: bool = True) -> Iterator[tuple]:
     """Breadth-first rows below ``root``."""
     queue = deque([root])
     while queue:
@@ -57,7 +78,11 @@ class _Subtree(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
-        self.prune = frozenset(p.strip().lower() for p in options.get("prune", "").split(",") if p.strip())
+        self.patterns = [p for p in options.get("prune", "").split("\n") if p]
+
+    @property
+    def prune(self):
+        return pruner(self.root, self.patterns)
 
     def partitions(self):
         tops = [os.path.join(r[0], r[1]) for r in list_directory(self.root, self.prune) if r[2] and r[1] and not r[3] & 0x400]
@@ -68,7 +93,7 @@ class _Reader(DataSourceReader):
 
 
 class DirectoryListing(DataSource):
-    """``spark.read.format("directory_listing").option("prune", "a,b").load(root)``"""
+    """``spark.read.format("directory_listing").option("prune", "*.tmp\\nraw/old*").load(root)``"""
 
     @classmethod
     def name(cls):
@@ -83,4 +108,4 @@ class DirectoryListing(DataSource):
 
 def listing(spark: SparkSession, root: str, prune: list[str] | None = None):
     spark.dataSource.register(DirectoryListing)
-    return spark.read.format("directory_listing").option("prune", ",".join(prune or [])).load(root)
+    return spark.read.format("directory_listing").option("prune", "\n".join(prune or [])).load(root)
