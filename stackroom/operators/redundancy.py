@@ -17,7 +17,11 @@ def placed(files: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def content_groups(files: DataFrame, volumes: DataFrame) -> DataFrame:
-    """One row per identified content: paths, proven and possible drives, physical copies, reclaimable bytes."""
+    """One row per identified content: paths, proven and possible drives, physical copies, reclaimable bytes.
+
+    Drives are gathered as sets, which the number of drives bounds; physical copies are the one
+    distinct count, so that rows are not multiplied by distinct columns before the shuffle.
+    """
     possible = F.coalesce(F.col("drive_id"), -F.col("volume_id"))
     physical = F.concat_ws(":", F.col("volume_id").cast("string"), F.coalesce(F.col("frn").cast("string"), F.concat(F.lit("f"), F.col("id").cast("string"))))
     groups = (
@@ -27,8 +31,8 @@ def content_groups(files: DataFrame, volumes: DataFrame) -> DataFrame:
         .agg(
             F.max("size_bytes").alias("size_bytes"),
             F.count("*").alias("paths"),
-            F.greatest(F.count_distinct("drive_id"), F.lit(1)).alias("drives"),
-            F.count_distinct(possible).alias("drives_possible"),
+            F.greatest(F.size(F.collect_set("drive_id")), F.lit(1)).cast("long").alias("drives"),
+            F.size(F.collect_set(possible)).cast("long").alias("drives_possible"),
             F.count_distinct(physical).alias("physical_copies"),
         )
     )
