@@ -18,17 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Longest pre-token, in bytes, that is encoded whole.
 LEAF = 2048
 #: Characters of pieces that a worker remembers; beyond it the memory starts afresh.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 5_000_000
 #: Distinct pieces encoded by one call.
 RUN = 1024
-#: Characters of text encoded at once: bounds a worker's memory whatever the size of Arrow's batches.
-BATCH_CHARS = 4_000_000
+#: Bytes of text encoded at once: bounds a worker's memory whatever the size of Arrow's batches.
+BATCH_CHARS = 2_000_000
 
 FIELDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -143,16 +144,19 @@ class TreeEncoder:
         return self.tok.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
-def by_chars(texts: list[str], most: int = BATCH_CHARS) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
-    start = n = 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > most:
-            yield slice(start, i)
-            start, n = i, 0
-        n += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
+def text_slices(column: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[slice, list[str]]]:
+    """Runs of a text column of about ``most`` bytes (a longer text is a run of its own), nulls as empty texts.
+
+    Only one run at a time is turned into Python strings, whatever the size of Arrow's batch.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        base = ends[start] - sizes[start]
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield slice(start, stop), [t or "" for t in column[start:stop].to_pylist()]
+        start = stop
 
 
 _encoders: dict[tuple[str, int], TreeEncoder] = {}
@@ -170,9 +174,8 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for s in by_chars(texts):
-                ids = [np.frombuffer(x, "<u4").astype("i4") for x in encoder(path, leaf).encode(texts[s])]
+            for s, texts in text_slices(b.column(1)):
+                ids = [np.frombuffer(x, "<u4").astype("i4") for x in encoder(path, leaf).encode(texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -199,10 +202,9 @@ def encode_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
             n, ids_sha, text_sha = [], [], []
-            for s in by_chars(texts):
-                for ids in enc.encode(texts[s]):
+            for _, texts in text_slices(b.column(1)):
+                for ids in enc.encode(texts):
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())

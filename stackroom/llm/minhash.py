@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import by_chars
+from stackroom.llm.bpe import text_slices
 from stackroom.llm.common import Scratch, components
 
 WORDS = 5
@@ -42,9 +42,9 @@ LEADER_ROUNDS = 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the shingles of ``text``, A-Z lower-cased and cut at ASCII white space."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.empty(0, np.int64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
@@ -72,9 +72,8 @@ def sketches(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for s in by_chars([t or "" for t in texts]):
-                sets = [shingle_hashes(t, words) for t in texts[s]]
+            for s, texts in text_slices(b.column(1)):
+                sets = [shingle_hashes(t, words) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x[:k] for x in sets], pa.list_(pa.int64()))],
                     names=["doc_id", "n", "set_id", "sketch"],
@@ -88,9 +87,8 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for s in by_chars([t or "" for t in texts]):
-                sets = [shingle_hashes(t, words) for t in texts[s]]
+            for _, texts in text_slices(b.column(0)):
+                sets = [shingle_hashes(t, words) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
     return docs.select("text").mapInArrow(run, "set_id binary, shingles array<long>")

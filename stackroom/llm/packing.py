@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import CACHE_CHARS, RUN, TreeEncoder, by_chars
+from stackroom.llm.bpe import CACHE_CHARS, RUN, TreeEncoder, text_slices
 from stackroom.llm.common import Scratch
 
 CAPACITY = 4096
@@ -125,10 +125,9 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_co
         ranks: dict[int, int] = defaultdict(int)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
             rows = []
-            for s in by_chars(texts):
-                for doc_id, ids in zip(doc_ids[s], enc.encode(texts[s])):
+            for s, texts in text_slices(b.column(1)):
+                for doc_id, ids in zip(doc_ids[s], enc.encode(texts)):
                     ids += END_ID.to_bytes(4, "little")
                     n = len(ids) // 4
                     for k, at in enumerate(range(0, n, capacity)):

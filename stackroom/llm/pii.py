@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import by_chars
+from stackroom.llm.bpe import text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -278,8 +279,7 @@ def fit(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> Weights:
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for k, t in enumerate(b.column(0).to_pylist()):
-                t = t or ""
+            for k, t in ((s.start + k, t) for s, texts in text_slices(b.column(0)) for k, t in enumerate(texts)):
                 rows += [(k, n.start, n.end, -1 if n.kind is None else n.kind, n.key[:64], n.features) for n in nodes_of(t, base_spans(t), False)[:TRAIN_NODES]]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
             cols = list(zip(*rows)) or [()] * 6
@@ -314,10 +314,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for s in by_chars(texts):
+            for s, texts in text_slices(b.column(1)):
                 counts, digest, names = [], [], []
-                for t in texts[s]:
+                for t in texts:
                     base, spans = find(t, w)
                     counts.append([sum(k == j for k, _, _ in base) for j in range(NONE)])
                     digest.append(hashlib.sha256(_name(base).encode()).hexdigest())
@@ -347,9 +346,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else mask(t, find(t, w)[1]) for t in b.column(at).to_pylist()]
-            columns = list(b.columns)
-            columns[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            for s, texts in text_slices(b.column(at)):
+                columns = [c[s] for c in b.columns]
+                masked = pa.array([mask(t, find(t, w)[1]) for t in texts], columns[at].type)
+                columns[at] = pc.if_else(columns[at].is_valid(), masked, pa.scalar(None, masked.type))
+                yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
     return docs.mapInArrow(run, schema)
