@@ -34,6 +34,16 @@ def quick_hash(path: str, size: int) -> bytes:
     return d.digest()
 
 
+def quick_digest(content: bytes) -> bytes:
+    """``quick_hash`` of bytes in memory."""
+    d = _digest()
+    n = len(content)
+    d.update(n.to_bytes(8, "little"))
+    for at, size in [(0, n)] if n <= SMALL else [(0, SAMPLE), (n // 2, SAMPLE), (max(0, n - SAMPLE), SAMPLE)]:
+        d.update(content[at : at + size])
+    return d.digest()
+
+
 def full_hash(path: str) -> tuple[bytes, int]:
     """Digest of the whole file and the bytes that were read."""
     d, n = _digest(), 0

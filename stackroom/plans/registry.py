@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackroom.plans import catalog, curation, durability  # noqa: F401  they register their queries
+from stackroom.plans import catalog, curation, durability, scanning  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
