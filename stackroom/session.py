@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,14 @@ def session(app: str = "stackroom", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SETTINGS | settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did; every node sees that folder."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset in local mode, one of our own."""
     sc = spark.sparkContext
