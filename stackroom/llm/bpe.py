@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Longest pre-token, in bytes, that is encoded whole.
 LEAF = 2048
 #: Characters of pieces that a worker remembers; beyond it the memory starts afresh.
-CACHE_CHARS = 5_000_000
+CACHE_CHARS = 4_000_000
 #: Distinct pieces encoded by one call.
 RUN = 1024
 #: Bytes of text encoded at once: bounds a worker's memory whatever the size of Arrow's batches.

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from stackroom.session import shared_dir
 
 
+#: Rows of an Arrow batch while a table is kept: texts are long, and a batch lies in memory on both sides.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 class Scratch:
     """Named intermediate tables, deleted together by ``finish`` or ``close``."""
 
@@ -24,8 +28,13 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return what was written: lineage ends here."""
         path = f"{self.root}/{uuid.uuid4().hex}"
-        schema = df.schema
-        df.write.parquet(path)
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(ARROW_ROWS)
+        conf.set(ARROW_ROWS, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(ARROW_ROWS, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

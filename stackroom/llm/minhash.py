@@ -35,7 +35,7 @@ from stackroom.llm.common import Scratch, components
 WORDS = 5
 K = 128
 #: Linked: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+PERCENT = 80
 #: Rounds with a leader for each list, before the full comparison of what they left apart.
 LEADER_ROUNDS = 2
 

@@ -31,9 +31,9 @@ from stackroom.llm.common import Scratch
 CAPACITY = 4096
 #: Id 1 ends a document.
 END_ID = 1
-#: Lengths above this share of the capacity are large.
-LARGE = 1 / 8
-GROUPS = 48
+#: Lengths above such a share of the capacity are large; the share that needs the fewest sequences is taken.
+LARGE = (1 / 2, 1 / 3, 1 / 5, 1 / 8)
+GROUPS = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
@@ -193,12 +193,23 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, max_round
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> tuple[list[tuple], int]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, shares: tuple[float, ...] = LARGE) -> tuple[list[tuple], int]:
     """Runs ``(length, rank_lo, rank_hi, first_sequence, per_sequence, offset)`` and the number of sequences.
 
     A piece of that length and rank r in [lo, hi) lies in sequence ``first + (r - lo) // per``
     at ``offset + ((r - lo) % per) * length``.
     """
+    volume = -(-sum(k * n for k, n in counts.items()) // capacity)
+    best: tuple[list[tuple], int] | None = None
+    for large in shares:
+        if best is None or best[1] > volume:
+            found = grouped_plan(counts, capacity, groups, large)
+            best = found if best is None or found[1] < best[1] else best
+    return best
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, groups: int, large: float) -> tuple[list[tuple], int]:
+    """``plan`` with one share of large lengths."""
     runs: list[tuple] = []
     used = dict.fromkeys(counts, 0)
     bins = 0

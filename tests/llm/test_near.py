@@ -25,21 +25,21 @@ def roots(ids, links):
     return {i: top(i) for i in ids}
 
 
-def brute_documents(rows):
+def brute_documents(rows, percent=80):
     sets = {}
     for i, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
     ids = sorted(sets)
-    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     component = roots(ids, links)
     return {i: (len(sets[i]), component[i], component[i] == i) for i in ids}
 
 
-def check_documents(spark, rows, **options):
+def check_documents(spark, rows, percent=85, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, **options).collect()}
-    assert got == brute_documents(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, percent=percent, **options).collect()}
+    assert got == brute_documents(rows, percent)
 
 
 def corpus(seed, n_bases, copies, length, edits):
@@ -68,6 +68,10 @@ def test_minhash_small_sketch_loses_no_link(spark):
     check_documents(spark, corpus(5, 3, 40, 300, 12), k=96, leader_rounds=1)
 
 
+def test_minhash_at_another_similarity(spark):
+    check_documents(spark, corpus(6, 40, 6, 60, 4), percent=80)
+
+
 def test_minhash_on_the_documents_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check_documents(spark, rows)
