@@ -39,7 +39,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+  FROM d),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS v FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c) UNION ALL SELECT b, a FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM s LEFT JOIN c ON c.a = doc_id
+"""
+
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t),
+w AS (SELECT doc_id, ls, i, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w FROM n),
+b AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) - w AS before, sum(w) OVER (PARTITION BY doc_id) AS total FROM w),
+r AS (SELECT doc_id, ls, i, before, total, max(i) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS last FROM b),
+k AS (SELECT doc_id, i, last, ls[i:last] AS run FROM r WHERE before + 50 <= total),
+f AS (SELECT run, min({'d': doc_id, 'i': i}) AS first FROM k GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM k JOIN f USING (run) WHERE {'d': doc_id, 'i': i} <> first),
+q AS (SELECT n.doc_id, string_agg(n.ls[n.i], chr(10) ORDER BY n.i) FILTER (g.i IS NULL) AS text, count(g.i) AS gone FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY 1)
+SELECT t.doc_id, CASE WHEN t.text IS NOT NULL THEN coalesce(q.text, '') END AS text, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(gone, 0) AS BIGINT) AS n_deleted
+FROM t LEFT JOIN q USING (doc_id)
+"""
+
 OP2_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e
@@ -135,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embeddings": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_embeddings": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filter": OP7_SQL}
