@@ -41,6 +41,8 @@ TRAIN_DOCS = 2000
 TRAIN_NODES = 64
 #: Rounds of message passing; messages have settled when none moves by TOLERANCE.
 ROUNDS, TOLERANCE = 50, 1e-4
+#: Shape alone never makes a span: what it says for a kind stays this far below "none".
+PRIOR = 4.0
 #: A hidden candidate becomes a span from this marginal probability on.
 ACCEPT = 0.5
 
@@ -199,6 +201,8 @@ def marginals(nodes: list[Node], w: Weights) -> np.ndarray:
         if node.kind is not None:
             score[i] = -50.0
             score[i, node.kind] = 0.0
+        else:
+            score[i, :NONE] = np.minimum(score[i, :NONE], score[i, NONE] - PRIOR)
     unary = np.exp(score - score.max(1, keepdims=True))
     skip = np.where(np.eye(s, dtype=bool), np.exp(w.skip), 1.0)
     chain = np.exp(w.chain)
