@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from stackroom.catalog import Catalog
+from stackroom.operators import risk
 from stackroom.session import session
 
 
@@ -40,16 +41,25 @@ def parser() -> argparse.ArgumentParser:
     verb("report", ("kind", {"choices": ["summary", "duplicates", "redundancy", "reclamation", "durability", "integrity"]}), ("--min-copies", {"type": int, "default": 2}))
     verb("status")
     verb("standards-import", ("file", {}))
+    verb("standards-list")
+    verb("standards-forget", ("name", {}))
     verb("collections-propose")
     verb("collections-queue")
     verb("collections-accept", ("dir", number), ("title", {}))
     verb("collections-reject", ("dir", number))
+    verb("collections-split", ("dir", number))
+    verb("collections-accept-all", ("score", {"type": float}))
+    verb("collections-edit", ("collection", number), ("fields", {"nargs": "+", "metavar": "name=value"}))
+    verb("collections-show", ("collection", number))
     verb("collections-coverage")
     verb("collections-list")
     verb("versions-find")
+    verb("versions-list", ("--vanished", {"action": "store_true"}))
     verb("score")
     verb("plan-make", ("--min-copies", {"type": int, "default": 2}))
     verb("plan-show", ("plan", number))
+    verb("plan-list")
+    verb("export-list")
     verb("export", ("folder", {}), ("--kind", {"action": "append", "choices": ["manifests", "collections", "reports"]}))
     verb("audit-list")
     verb("audit-verify")
@@ -73,8 +83,11 @@ def run(c: Catalog, a: argparse.Namespace):
         "volume-add": lambda: c.add_volume(**fields(a.fields)), "volume-assign": lambda: c.assign(a.volume, a.drive), "volumes": c.volumes,
         "scan": lambda: c.scan(a.root), "hash": c.hash, "verify": c.verify, "find": lambda: c.find(a.text, a.after, a.limit), "report": lambda: reports[a.kind](), "status": c.status,
         "standards-import": lambda: c.import_rates(Path(a.file).read_text()), "collections-propose": c.propose, "collections-queue": c.queue, "collections-accept": lambda: c.accept(a.dir, a.title),
-        "collections-reject": lambda: c.decide(a.dir, "rejected"), "collections-coverage": c.coverage, "collections-list": lambda: c.table("collection"), "versions-find": c.find_versions, "score": lambda: c.score()[0],
+        "collections-reject": lambda: c.decide(a.dir, "rejected"), "collections-coverage": c.coverage, "collections-list": c.collections, "versions-find": c.find_versions, "score": lambda: c.score()[0],
         "plan-make": lambda: c.plan(a.min_copies), "plan-show": lambda: c.table("plan_step").where(f"plan_id = {a.plan}").orderBy("id"), "export": lambda: c.export(a.folder, tuple(a.kind or ("manifests", "collections", "reports"))),
+        "collections-split": lambda: c.split(a.dir), "collections-accept-all": lambda: c.accept_all(a.score), "collections-edit": lambda: c.edit_collection(a.collection, **fields(a.fields)),
+        "collections-show": lambda: c.members(a.collection).select("id", "name", "size_bytes"), "versions-list": lambda: c.versions(a.vanished), "standards-list": lambda: ", ".join(f"{t.source}-{t.version}" for t in risk.ranked(c.rates)),
+        "standards-forget": lambda: c.forget_rates(a.name), "plan-list": lambda: c.recent("plan"), "export-list": lambda: c.recent("export"),
         "audit-list": lambda: c.table("audit").orderBy("id"), "audit-verify": c.audit_problems,
     }
     return verbs[a.verb]()

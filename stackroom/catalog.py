@@ -402,6 +402,74 @@ class Catalog:
         e = checkpointed(e.join(facts, "collection").join(relations, "collection", "left").fillna(0, ["relations"]))
         return scorecard.fair_card(e), scorecard.ndsa_levels(scorecard.ndsa_card(e))
 
+    def split(self, dir_id: int) -> DataFrame:
+        """Replace a candidate by its child folders, each with its own score."""
+        self.decide(dir_id, "split")
+        children = schema.live(self.table("dir")).where(F.col("parent_id") == dir_id)
+        files = self.table("file").withColumn("modified", F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)))
+        signals = curate.folder_signals(self.table("dir"), files, self._closure())
+        new = children.join(signals.select("id", "score"), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        queue = curate.propose(self.table("collection_candidate"), new).withColumn("evidence", F.lit(None).cast("string"))
+        self.replace("collection_candidate", checkpointed(queue))
+        return self.queue()
+
+    def accept_all(self, min_score: float) -> int:
+        """Accept every open candidate of at least this score, titled by its folder's name."""
+        names = self.table("dir").select(F.col("id").alias("dir_id"), "name")
+        rows = self.queue().where(F.col("score") >= min_score).join(names, "dir_id").collect()
+        for r in rows:
+            self.accept(r.dir_id, r.name)
+        return len(rows)
+
+    def edit_collection(self, collection_id: int, **fields) -> None:
+        known = set(curate.DESCRIPTIVE) | {"ndsa_target"}
+        if set(fields) - known:
+            raise CatalogError(f"a collection has no field {sorted(set(fields) - known)[0]}")
+        self.edit("collection", collection_id, **fields)
+        self.record("collection.edit", id=collection_id, fields=sorted(fields))
+
+    def collections(self, today: str | None = None) -> DataFrame:
+        """Each collection with its members' files and bytes, filled fields and FAIR score."""
+        tops = self.table("collection_rule").select(F.col("dir_id").alias("ancestor"), "collection_id")
+        dirs = self._closure().join(tops, "ancestor").select(F.col("descendant").alias("dir_id"), "collection_id").distinct()
+        held = schema.live(self.table("file")).join(dirs, "dir_id").groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+        scores = scorecard.fair_score(self.score(today)[0]).withColumnRenamed("collection", "id")
+        return curate.completeness(self.table("collection")).select("id", "title", "filled").join(held, "id", "left").join(scores, "id", "left")
+
+    def versions(self, vanished: bool = False) -> DataFrame:
+        """Members of the stored version sets; live ones unless asked otherwise."""
+        files = self.table("file") if vanished else schema.live(self.table("file"))
+        rows = self.table("version_member").join(files.select(F.col("id").alias("file_id"), "name"), "file_id")
+        return rows.join(self.table("version_set").select(F.col("id").alias("set_id"), "label", "confidence"), "set_id")
+
+    def forget_rates(self, name: str) -> None:
+        """Drop an imported rate table."""
+        self.tables.write("rates", checkpointed(self.tables.read("rates").where(F.col("name") != name)))
+        self.__dict__.pop("rates", None)
+        self.record("standards.forget", name=name)
+
+    def recent(self, table: str, n: int = 20) -> DataFrame:
+        """The newest rows of scans, audit entries, plans or exports."""
+        return self.table(table).orderBy(F.desc("id")).limit(n)
+
+    def bound_roots(self, mounted: DataFrame) -> DataFrame:
+        """Roots in scope with their volume, and whether it is the one that is mounted there: ``mount, volume_guid``."""
+        places = [(r.id, m.mount) for r in self.roots().collect() for m in mounted.collect() if predicates.prefix_covers(m.mount, r.path) or m.mount == "/"]
+        best = {i: max((m for j, m in places if j == i), key=len) for i, _ in places}
+        at = self.spark.createDataFrame(sorted(best.items()), "id long, mount string")
+        return predicates.bind_roots(self.roots().join(at, "id", "left"), self.table("volume"), mounted)
+
+    def analyze(self, database: str = "default") -> list[str]:
+        """Register the current snapshots as tables of the session and collect their statistics."""
+        names = []
+        for name in schema.TABLES:
+            full = f"{database}.stackroom_{name}"
+            self.spark.sql(f"DROP TABLE IF EXISTS {full}")
+            self.spark.catalog.createTable(full, f"{self.tables.root}/{name}/{self.tables.current(name)}", "parquet")
+            self.spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS")
+            names.append(full)
+        return names
+
     # planning, exports
 
     def plan(self, min_copies: int = 2, today: str | None = None) -> int:
@@ -431,7 +499,7 @@ class Catalog:
             for r in measures.join(sets, "unit").collect()
         ]
         to = [planner.Destination(r.id, r.room or 0, r.cluster_bytes or planner.DEFAULT_CLUSTER, afr[r.id].batch or "", r.disaster_zone or "", bool(r.excluded)) for r in planner.destinations(self.table("drive"), self.table("volume")).collect()]
-        made = planner.greedy(found, to, p_of)
+        made = planner.refine(found, to, p_of, planner.greedy(found, to, p_of))
         holders = {u.key: min(u.holders, default=None) for u in found}
         order = planner.rounds((holders[c.unit], c.drive_id) for c in made.copies)
         i = self.next_id("plan")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stackroom.functions import hashing, predicates
 from stackroom.operators import audit, identity, merge, planner, risk
 from stackroom.sinks import bundle, exports
-from stackroom.sources import binary, listing, readings
+from stackroom.sources import binary, discovery, layout, listing, readings
 from stackroom.streaming import journal
 
 
@@ -151,6 +151,22 @@ def test_listing_identity_and_verification(spark, tree_on_disk):
     assert got == {"a.txt": "ok", "b.txt": "ok", "c.bin": "modified", "d.bin": "unreadable", "e": "mismatch", "f": "ok", "g": "ok"}
 
 
+def test_drives_are_merged_by_serial_then_layout(spark):
+    columns = "id long, serial string, layout_id string, model string"
+    old = spark.createDataFrame([(1, "S1", "L1", "old"), (2, None, "L2", None)], columns)
+    seen = spark.createDataFrame([("S1", "L9", "new"), ("S2", "L2", "gained"), ("S3", "L1", "other")], "serial string, layout_id string, model string")
+    got = {r.id: (r.serial, r.layout_id, r.model) for r in merge.upsert_drives(old, seen).collect()}
+    assert got[1] == ("S1", "L1", "old") and got[2] == ("S2", "L2", "gained") and len(got) == 3
+
+
+def test_disk_layouts_and_mounts(spark):
+    gpt = bytes(512) + b"EFI PART" + bytes(48) + bytes(range(16)) + bytes(440)
+    mbr = bytes(440) + b"\1\2\3\4" + bytes(66) + b"\x55\xaa"
+    df = spark.createDataFrame([(bytearray(gpt),), (bytearray(mbr),), (bytearray(512),), (None,)], "head binary")
+    assert [r.layout_id for r in layout.with_layout_id(df).collect()] == ["gpt:03020100-0504-0706-0809-0a0b0c0d0e0f", "mbr:04030201", None, None]
+    assert discovery.mounted_volumes(spark).where("capacity_bytes > 0").count() >= 1
+
+
 def test_audit_chain(spark):
     log = audit.append(spark, None, "me", [("scan", {"n": 1}), ("hash", {"é": "ü"})], "2026-01-01T00:00:00+00:00")
     log = log.union(audit.append(spark, log, "me", [("plan", {"sha256": "ab"})], "2026-01-02T00:00:00+00:00"))
@@ -204,6 +220,9 @@ def test_greedy_plan_invariants(seed):
         extra = {c.drive_id for c in plan.copies if c.unit == u.key}
         assert plan.holders[u.key] == u.holders | extra
         assert plan.short.get(u.key, 0) == max(0, u.target - u.copies(extra))
+    p_of = lambda h: 0.02 ** max(1, len(h))
+    better = planner.refine(units, drives, p_of, plan, tries=20)
+    assert planner.objective(units, better, p_of) <= planner.objective(units, plan, p_of)
 
 
 def test_rounds_keep_drives_apart():

@@ -8,6 +8,7 @@ import pytest
 
 from stackroom.__main__ import parser, run
 from stackroom.catalog import Catalog, CatalogError
+from stackroom.schema import TABLES
 
 
 def write(path, body):
@@ -74,6 +75,18 @@ def test_from_scan_to_export(spark, tmp_path):
     with pytest.raises(CatalogError):
         c.scan(roots[1])
     assert c.table("scan").where("status = 'failed'").count() == 1
+    c.import_rates('{"source": "fleet", "version": "1", "basis": "fleet", "classes": {"hdd": 0.02}, "models": []}')
+    assert {r.base_afr for r in c.drive_risks().collect()} == {0.02} and len(c.rates) == 2
+    c.forget_rates("fleet-1")
+    assert {r.base_afr for r in c.drive_risks().collect()} == {0.015}
+    c.edit_collection(i, description="lake", license="CC-BY")
+    got = c.collections("2026-10-30").first()
+    assert (got.files, got.filled) == (6, 3) and 0 < got.score <= 1
+    assert c.versions().count() == 2 and c.recent("scan", 3).count() == 3
+    assert c.split(c.table("dir").where(f"parent_id IS NULL AND volume_id = {vols[0]}").first().id).count() >= 1
+    mounts = spark.createDataFrame([("/", c.table("volume").first().volume_guid)], "mount string, volume_guid string")
+    assert sorted(r.bound for r in c.bound_roots(mounts).collect()) == [False, True]
+    assert len(c.analyze()) == len(TABLES)
     shown = run(c, parser().parse_args([c.root, "report", "duplicates"]))
     assert shown.columns[0] == "content_id"
     run(c, parser().parse_args([c.root, "drive-edit", "1", "nickname=Shelf", "price_cents=9900"]))
