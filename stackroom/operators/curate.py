@@ -139,6 +139,38 @@ def infer_collections(signals: DataFrame, tree: DataFrame, covered: DataFrame, t
     return good.join(below, "id", "left_anti")
 
 
+def month_text(month: Column) -> Column:
+    return F.concat_ws("-", F.lpad(F.floor(month / 12).cast("string"), 4, "0"), F.lpad((month % 12 + 1).cast("string"), 2, "0"))
+
+
+def collection_evidence(proposals: DataFrame, files: DataFrame, tree: DataFrame, samples: int = 5) -> DataFrame:
+    """What speaks for each proposal: ``id, types, samples, first_month, last_month, reasons``.
+
+    ``types``: the five most frequent extensions with their files; ``samples``: the names of
+    the largest files, the first by id of equal ones. Each folder gives its own few largest
+    before the closure join, so a proposal's task holds a few rows a folder.
+    """
+    rows = live(files)
+    own = Window.partitionBy("dir_id").orderBy(F.desc("size_bytes"), "id")
+    few = rows.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= samples).select("dir_id", "id", "name", "size_bytes")
+    mine = tree.join(proposals.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select(F.col("ancestor").alias("top"), F.col("descendant").alias("dir_id"))
+    big = mine.join(few, "dir_id").withColumn("_n", F.row_number().over(Window.partitionBy("top").orderBy(F.desc("size_bytes"), "id"))).where(F.col("_n") <= samples)
+    big = big.groupBy("top").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("samples"))
+    types = mine.join(rows.groupBy("dir_id", "ext").agg(F.count("*").alias("n")), "dir_id").groupBy("top", "ext").agg(F.sum("n").alias("n"))
+    types = types.withColumn("_n", F.row_number().over(Window.partitionBy("top").orderBy(F.desc("n"), "ext"))).where("_n <= 5")
+    types = types.groupBy("top").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "ext", "n"))), lambda x: F.struct(x["ext"], x["n"])).alias("types"))
+    own_span = rows.groupBy("dir_id").agg(F.min(month_index(F.col("modified"))).alias("lo"), F.max(month_index(F.col("modified"))).alias("hi"))
+    span = mine.join(own_span, "dir_id").groupBy("top").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    why = F.array_compact(F.array(
+        F.when(F.col("homogeneity") >= 0.8, "most of its files are of two types"), F.when(F.col("time") >= 0.8, "its files were changed within a few months"),
+        F.when(F.col("series") == 1, "one of a series of folders").when(F.col("series") > 0, "its name carries a date"), F.when(F.col("size") < 1, "outside the usual size of one dataset"),
+    ))
+    out = proposals.select("id", why.alias("reasons"))
+    for part in (types, big, span):
+        out = out.join(part.withColumnRenamed("top", "id"), "id", "left")
+    return out.select("id", "types", "samples", month_text(F.col("lo")).alias("first_month"), month_text(F.col("hi")).alias("last_month"), "reasons")
+
+
 def propose(candidates: DataFrame, proposals: DataFrame) -> DataFrame:
     """The review queue with new proposals; a decided candidate stays as decided, an open one is scored anew."""
     p = proposals.select(F.col("id").alias("dir_id"), F.col("score").alias("new"))

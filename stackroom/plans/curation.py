@@ -196,6 +196,23 @@ def infer_collections(spark, sf_dir):
     return curate.infer_collections(signals, closure, spark.createDataFrame([(1004,)], "dir_id long")).select("id")
 
 
+@query(
+    """, chosen AS (SELECT id FROM sig WHERE files >= 200),
+       f AS (SELECT ancestor AS top, t.* FROM closure JOIN tfile t ON t.dir_id = descendant WHERE NOT t.vanished AND ancestor IN (SELECT id FROM chosen)),
+       big AS (SELECT top, string_agg(name, ',' ORDER BY k) AS samples FROM (SELECT top, name, row_number() OVER (PARTITION BY top ORDER BY size_bytes DESC, id) AS k FROM f) WHERE k <= 5 GROUP BY 1),
+       ty AS (SELECT top, string_agg(ext || ':' || n, ',' ORDER BY k) AS types FROM (SELECT top, ext, count(*) AS n, row_number() OVER (PARTITION BY top ORDER BY count(*) DESC, ext) AS k FROM f GROUP BY 1, 2) WHERE k <= 5 GROUP BY 1),
+       sp AS (SELECT top, strftime(min(modified), '%Y-%m') AS first_month, strftime(max(modified), '%Y-%m') AS last_month FROM f GROUP BY 1)
+       SELECT top AS id, samples, types, first_month, last_month FROM big JOIN ty USING (top) JOIN sp USING (top)""",
+    m.TREE_SQL, INFER_SQL, recursive=True,
+)
+def collection_evidence(spark, sf_dir):
+    """C2, O5."""
+    signals, closure = _signals(spark, sf_dir)
+    rows = curate.collection_evidence(signals.where("files >= 200"), m.tree_files(spark, sf_dir), closure)
+    types = F.array_join(F.transform("types", lambda t: F.concat(t["ext"], F.lit(":"), t["n"].cast("string"))), ",")
+    return rows.select("id", F.array_join("samples", ",").alias("samples"), types.alias("types"), "first_month", "last_month")
+
+
 ITEM_SQL = """
 items AS (
   SELECT coalesce(content_id, 'f' || id) AS item, max(size_bytes) AS size_bytes, count(DISTINCT drive_id) AS drives, bool_or(drive_id IS NULL) AS on_unverified, bool_or(content_id IS NOT NULL) AS hashed
