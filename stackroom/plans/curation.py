@@ -260,9 +260,6 @@ hold AS (SELECT collection, count(*) AS holding_drives, count(*) FILTER (dated)
   SELECT DISTINCT m.collection, f.id, f.dated FROM members m JOIN live l ON coalesce(l.content_id, 'f' || l.id) = m.item JOIN dfacts f ON f.id = l.drive_id + 1) GROUP BY 1),
 e AS (SELECT ev.*, coalesce(holding_drives, 0) AS holding_drives, coalesce(dated_drives, 0) AS dated_drives, verified > 0 AS ever, CASE WHEN collection = 'de' THEN 2 ELSE 0 END AS missing FROM ev LEFT JOIN hold USING (collection))"""
 
-SHARE = "CASE WHEN n = 0 THEN 'fail' WHEN {k} = n THEN 'pass' WHEN {k} >= 1 THEN 'partial' ELSE 'fail' END"
-
-
 def _share(k: str, n: str = "n") -> str:
     return f"CASE WHEN {n} = 0 THEN 'fail' WHEN {k} = {n} THEN 'pass' WHEN {k} >= 1 THEN 'partial' ELSE 'fail' END"
 
