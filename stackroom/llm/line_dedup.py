@@ -49,10 +49,6 @@ def repeated(positions: DataFrame) -> DataFrame:
     return positions.join(often, ["a", "b"])
 
 
-def _same_doc(x: DataFrame, y: DataFrame):
-    return x["doc_id"].eqNullSafe(y["doc_id"]) & (x["t1"] == y["t1"]) & (x["t2"] == y["t2"])
-
-
 def later_copies(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """``doc_id, t1, t2, i, run``: positions whose run occurs at an earlier position."""
     at, h, runs = scratch.keep(repeated(lines)), 1, None
