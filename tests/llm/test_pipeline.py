@@ -54,3 +54,10 @@ def test_repeated_rows_and_nulls(spark):
     assert got == [("1", "other"), ("3", "None"), ("None", "a  b")]
     assert corpus_pipeline.mask_personal_data(spark, docs, SF).count() == 7
     assert corpus_pipeline.drop_near_copies(spark, docs, SF).columns == docs.columns
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
