@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackroom.functions import hashing, predicates
-from stackroom.operators import audit, identity, merge, planner, risk
+from stackroom.catalog import checked_drive_fields
+from stackroom.operators import audit, browse, identity, merge, planner, risk, tree
 from stackroom.sinks import bundle, exports
 from stackroom.sources import binary, discovery, layout, listing, readings
 from stackroom.streaming import journal
@@ -261,3 +262,37 @@ def test_interned_directories(spark):
     rows = {(r.volume_id, r.name, r.depth): r for r in d.collect()}
     assert set(rows) == {(1, "", 0), (1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "", 0), (2, "a", 1)}
     assert rows[1, "c", 3].parent_id == rows[1, "b", 2].id and rows[1, "", 0].parent_id is None
+
+
+def test_live_tree_follows_renames(spark, tmp_path):
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    (pages / "0.bin").write_bytes(struct.pack("<q", 50) + record(2, 7, 1, "old", 10) + record(2, 8, 1, "other", 20))
+    (pages / "50.bin").write_bytes(struct.pack("<q", 90) + record(2, 7, 2, "new", 60))
+    seen = {}
+    stream = journal.live_tree(journal.journal_stream(spark, str(pages)))
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.update({int(r.frn): (int(r.parent_frn), r.name, r.usn) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert seen == {7: (2, "new", 60), 8: (1, "other", 20)}
+
+
+def test_root_restriction_keeps_none_apart_from_empty(spark):
+    files = spark.createDataFrame([(1, 10), (2, 20)], "id long, dir_id long")
+    dirs = spark.createDataFrame([(10, 1), (20, 2)], "id long, root_id long")
+    assert [tree.in_roots(files, dirs, x).count() for x in (None, [], [1])] == [2, 0, 1]
+    records = spark.createDataFrame([(1, 1, "r", 0, 1), (2, 1, "a", 0, 2), (3, 2, "b", 0, 3), (9, 8, "lost", 0, 4), (2, 1, "a2", 0, 5)], "frn long, parent_frn long, name string, attributes long, usn long")
+    last = tree.frn_tree(records)
+    assert last.where("frn = 2").first().name == "a2"
+    assert [r.frn for r in tree.orphans(last, 1).collect()] == [9]
+
+
+def test_drive_metadata_is_checked():
+    assert checked_drive_fields({"purchase_date": "2021-03", "price_cents": "990", "nickname": ""}) == {"purchase_date": "2021-03", "price_cents": 990, "nickname": None}
+    for bad in ({"colour": "red"}, {"purchase_date": "March"}, {"media": "cloud"}):
+        with pytest.raises(ValueError):
+            checked_drive_fields(bad)
+
+
+def test_small_texts(spark):
+    df = spark.createDataFrame([(0,), (1023,), (1536,), (5 * 1024**3,)], "n long")
+    assert [r.t for r in df.select(browse.human_bytes(F.col("n")).alias("t")).collect()] == ["0 B", "1023 B", "1.5 KiB", "5.0 GiB"]
