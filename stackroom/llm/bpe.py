@@ -159,14 +159,20 @@ def text_slices(column: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[sli
         start = stop
 
 
-_encoders: dict[tuple[str, int], TreeEncoder] = {}
+#: This worker's encoders: loaded once, shared by its tasks.
+ENCODERS: dict[tuple, TreeEncoder] = {}
 
 
-def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
-    """This worker's encoder: loaded once, shared by its tasks."""
-    if (path, leaf) not in _encoders:
-        _encoders[path, leaf] = TreeEncoder(path, leaf)
-    return _encoders[path, leaf]
+def encoder(path: str, leaf: int = LEAF, kind: type[TreeEncoder] | None = None) -> TreeEncoder:
+    key = (kind, path, leaf)
+    if key not in ENCODERS:
+        ENCODERS[key] = kind(path) if kind else TreeEncoder(path, leaf)
+    return ENCODERS[key]
+
+
+def release_encoders() -> None:
+    """Free vocabularies and remembered pieces, which a worker keeps between tasks, before other work."""
+    ENCODERS.clear()
 
 
 def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:

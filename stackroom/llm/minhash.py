@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import text_slices
+from stackroom.llm.bpe import release_encoders, text_slices
 from stackroom.llm.common import Scratch, components
 
 WORDS = 5
@@ -71,6 +71,7 @@ def sketches(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """``doc_id, n, set_id, sketch`` from ``doc_id, text``; ``set_id`` is a 128-bit hash of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             for s, texts in text_slices(b.column(1)):
                 sets = [shingle_hashes(t, words) for t in texts]
@@ -86,6 +87,7 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``set_id, shingles`` from ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             for _, texts in text_slices(b.column(0)):
                 sets = [shingle_hashes(t, words) for t in texts]

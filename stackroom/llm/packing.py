@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import CACHE_CHARS, RUN, TreeEncoder, text_slices
+from stackroom.llm.bpe import CACHE_CHARS, RUN, TreeEncoder, encoder, text_slices
 from stackroom.llm.common import Scratch
 
 CAPACITY = 4096
@@ -111,16 +111,11 @@ class WordEncoder(TreeEncoder):
         return [b"".join(map(self.known.__getitem__, next(cut))) if ok else next(other) for ok in plain]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their place in the document, checksum, and rank among this task's pieces of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        enc = _encoders[path]
+        enc = encoder(path, kind=WordEncoder)
         part = TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
         for b in batches:

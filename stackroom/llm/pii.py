@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import text_slices
+from stackroom.llm.bpe import release_encoders, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -281,6 +281,7 @@ def fit(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> Weights:
     """Learn the weights from ``n_docs`` documents of ``doc_id, text``, the first by a hash of their id."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             rows = []
             for k, t in ((s.start + k, t) for s, texts in text_slices(b.column(0)) for k, t in enumerate(texts)):
@@ -317,6 +318,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     w = weights or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             for s, texts in text_slices(b.column(1)):
                 counts, digest, names = [], [], []
@@ -349,6 +351,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             for s, texts in text_slices(b.column(at)):
                 columns = [c[s] for c in b.columns]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import text_slices
+from stackroom.llm.bpe import release_encoders, text_slices
 from stackroom.llm.common import Scratch
 
 #: Labelled documents of each class from which marks are found, the first by a hash of their id.
@@ -76,6 +76,7 @@ def find_marks(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float, flo
         some = part if some is None else some.union(part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             for s, texts in text_slices(b.column(0)):
                 tally: list[Counter] = [Counter(), Counter()]
@@ -118,6 +119,7 @@ def vote(docs: DataFrame, marks: list[tuple[str, float, float, bool]], voter: np
     names = {m: i for i, (m, *_) in enumerate(marks)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         whole = {m: i for m, i in names.items() if m[0] != "^"}
         begin = {m[1:]: i for m, i in names.items() if m[0] == "^"}
         heads = {w[:3] for w in begin}
