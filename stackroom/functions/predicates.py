@@ -53,12 +53,15 @@ def excluded_path(relative: Column, patterns: list[str]) -> Column:
 
 
 def _components(path: str) -> list[str]:
-    return path.lower().rstrip("\\/").replace("/", "\\").split("\\")
+    """Lower-case parts of a path between either kind of slash; slashes at the end don't count."""
+    return re.split(r"[\\/]", re.sub(r"[\\/]+$", "", path.lower()))
 
 
 def prefix_covers(prefix: str, path: str) -> bool:
-    parts, wanted = _components(path), _components(prefix)
-    return len(parts) >= len(wanted) and all(re.match(glob_regex(w), p) for p, w in zip(parts, wanted))
+    """Whether ``path`` is ``prefix`` or lies below it; wildcards stand within one component."""
+    wanted = [re.compile(glob_regex(w)) for w in _components(prefix)]
+    found = _components(path)[: len(wanted)]
+    return len(found) == len(wanted) and all(w.match(p) for w, p in zip(wanted, found))
 
 
 def excluded_prefix(absolute: Column, prefixes: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 import datetime
 import math
+import random
+import re
 
 import duckdb
 import pytest
@@ -99,22 +101,13 @@ def test_merge_is_idempotent_and_keeps_what_it_must(spark):
 
 
 def brute_strip(stem):
-    import re
-
-    base, changed = stem.lower(), True
-    marks = [re.compile(m.replace("(?s)", ""), re.I) for m in curate.MARKERS]
-    while changed:
-        changed = False
-        for m in marks:
-            shorter = m.sub("", base, count=1)
-            if shorter and shorter != base:
-                base, changed = shorter, True
-    return base.strip()
+    """Strip whichever marker shortens the name without emptying it, until none does."""
+    stem = stem.lower()
+    shorter = [s for s in (re.sub(m, "", stem, count=1) for m in curate.MARKERS) if s and s != stem]
+    return brute_strip(shorter[0]) if shorter else stem.strip()
 
 
 def test_version_names_strip_to_a_fixpoint(spark):
-    import random
-
     rng = random.Random(3)
     bits = ["thesis", "cover", "old", " ", "_", "-", "v2", "r12", "final", "(1)", "(22)", "2021-03-04", "rev", "3", "x", ".", "threshold", "copy", "version 7"]
     names = sorted({"".join(rng.choice(bits) for _ in range(rng.randint(1, 5))) for _ in range(3000)})
