@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackroom.llm.common import bounded_batches
+
 #: Longest pre-token, in bytes, that is encoded whole.
 LEAF = 2048
 #: Characters of pieces that a worker remembers; beyond it the memory starts afresh.
@@ -184,6 +186,7 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 ids = [np.frombuffer(x, "<u4").astype("i4") for x in encoder(path, leaf).encode(texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -216,4 +219,5 @@ def encode_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                     text_sha.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FIELDS)

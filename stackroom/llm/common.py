@@ -14,27 +14,30 @@ from pyspark.sql import functions as F
 from stackroom.session import shared_dir
 
 
-#: Rows of an Arrow batch while a table is kept: texts are long, and a batch lies in memory on both sides.
+#: Rows of an Arrow batch: texts are long, and a batch lies in memory on both sides.
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most ``BATCH_ROWS`` rows."""
+    rows = int(spark.conf.get(ARROW_ROWS))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
+
+
 class Scratch:
     """Named intermediate tables, deleted together by ``finish`` or ``close``."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return what was written: lineage ends here."""
         path = f"{self.root}/{uuid.uuid4().hex}"
-        schema, conf = df.schema, self.spark.conf
-        before = conf.get(ARROW_ROWS)
-        conf.set(ARROW_ROWS, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.set(ARROW_ROWS, before)
+        schema = df.schema
+        df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

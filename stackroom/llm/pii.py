@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.llm.bpe import release_encoders, text_slices
+from stackroom.llm.common import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -304,6 +305,7 @@ def _name(spans: list[Span]) -> str:
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
@@ -347,6 +349,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: Weights | None = None) -> DataFrame:
     """``docs`` with its text masked and its other columns as they are; null text stays null."""
+    bounded_batches(docs.sparkSession)
     w = weights or fit(_prepared(docs, id_col, text_col))
     schema, at = docs.schema, docs.columns.index(text_col)
 
