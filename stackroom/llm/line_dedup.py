@@ -7,7 +7,13 @@ once drops out, as no longer window of it can repeat. Positions of equal rank ar
 intervals of the suffix array whose common prefix has at least that many lines. A run of a
 given length is the overlap of two windows of the largest power of two in it. In each such
 interval the first position, in order of document id, stays, and later copies are deleted;
-deleted runs that touch or overlap are one maximal run.
+deleted runs that touch or overlap are one span.
+
+A maximal repeated run is the union of its shortest windows of ``min_words`` words: those that
+begin at each of its lines and those that end at each. Any line of a repeated run lies in a
+window that can't lose its first or last line without losing that line or falling below
+``min_words``, and a part of a repeated run is repeated as far back. So maximal runs need no
+extension against one earlier copy or another: windows by their last line are compared too.
 
 Only DataFrame functions are used.
 """
@@ -30,8 +36,13 @@ def _rank(*parts) -> list:
     return [F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(104_729), *parts).alias("b")]
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, t1, t2, i, a, b, run``: line ids, and how many lines from here reach ``min_words`` (null: none do)."""
+def line_table(docs: DataFrame, min_words: int, maximal: bool = False) -> DataFrame:
+    """``doc_id, t1, t2, i, a, b, run, most``: line ids, and how many lines from here reach ``min_words`` (null: none do).
+
+    The windows from here have ``run`` to ``most`` lines: one length, or, for maximal runs, also
+    those of windows that are the shortest by their last line: they end before the next line's
+    shortest window does, or at the document's end.
+    """
     word = r"[^\x20\x09-\x0D]+"
     lines = docs.where("text IS NOT NULL").select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     lines = lines.select(*DOC, "i", *_rank("line"), F.regexp_count("line", F.lit(word)).alias("w")).dropDuplicates([*DOC, "i"])
@@ -40,7 +51,13 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     lines = lines.withColumn("before", before).withColumn("total", F.sum("w").over(doc))
     # The lines of the shortest run from here are those that begin less than min_words after it.
     last = F.max("i").over(doc.orderBy("before").rangeBetween(0, min_words - 1))
-    return lines.withColumn("run", F.when(F.col("before") + min_words <= F.col("total"), last - F.col("i") + 1)).select(*DOC, "i", "a", "b", "run")
+    lines = lines.withColumn("run", F.when(F.col("before") + min_words <= F.col("total"), last - F.col("i") + 1))
+    most = F.col("run")
+    if maximal:
+        lines = lines.withColumn("n", F.count("*").over(doc))
+        following = doc.orderBy("i").rowsBetween(1, 1)
+        most = F.when(F.col("run").isNotNull(), F.greatest("run", F.coalesce(F.max("run").over(following), F.col("n") - F.col("i"))).cast("int"))
+    return lines.withColumn("most", most).select(*DOC, "i", "a", "b", "run", "most")
 
 
 def repeated(positions: DataFrame) -> DataFrame:
@@ -54,15 +71,17 @@ def later_copies(scratch: Scratch, lines: DataFrame) -> DataFrame:
     at, h, runs = scratch.keep(repeated(lines)), 1, None
     while True:
         second = at.select(*[F.col(c).alias(f"{c}_") for c in DOC], F.col("i").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        here = at.where((F.col("run") >= h) & (F.col("run") < 2 * h))
+        here = at.where((F.col("most") >= h) & (F.col("run") < 2 * h))
+        lengths = F.sequence(F.greatest("run", F.lit(h)), F.least("most", F.lit(2 * h - 1)))
+        here = here.select(*DOC, "i", "a", "b", F.explode(lengths).alias("run"))
         here = here.join(second, here["doc_id"].eqNullSafe(second["doc_id_"]) & (here["t1"] == second["t1_"]) & (here["t2"] == second["t2_"]) & (second["j"] == here["i"] + here["run"] - h))
         here = scratch.keep(here.select(*DOC, "i", "run", *_rank("run", "a", "b", "a2", "b2")))
         runs = here if runs is None else runs.unionByName(here)
-        if at.where(F.col("run") >= 2 * h).isEmpty():
+        if at.where(F.col("most") >= 2 * h).isEmpty():
             break
         half = Window.partitionBy(*DOC).orderBy("i").rangeBetween(h, h)
         pairs = at.withColumn("a2", F.first("a").over(half)).withColumn("b2", F.first("b").over(half)).where("a2 IS NOT NULL")
-        new = scratch.keep(repeated(pairs.select(*DOC, "i", "run", *_rank("a", "b", "a2", "b2"))))
+        new = scratch.keep(repeated(pairs.select(*DOC, "i", "run", "most", *_rank("a", "b", "a2", "b2"))))
         scratch.drop(at)
         at, h = new, 2 * h
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), *DOC, "i")
@@ -80,19 +99,22 @@ def merged(copies: DataFrame) -> DataFrame:
     return spans.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", maximal: bool = False) -> DataFrame:
     """``doc_id, text, n_lines, n_deleted, spans`` for every row, without later copies of runs of lines.
 
     A run is the shortest sequence of whole lines from some line on that has ``min_words``
     words; it is deleted where the same lines occur earlier, by document id, then by line,
-    in the same document too. Null text stays null with no lines; an empty text is one empty
-    line; rows of equal id and text are one document and get one result each; a null id
-    comes last; an empty table gives an empty result; other columns are not read.
+    in the same document too. That is the definition of the query's SQL, and it leaves the last
+    lines of a longer repeated run when no run from some line on ends there; with ``maximal``
+    every repeated sequence of at least ``min_words`` words goes whole. Null text stays null
+    with no lines; an empty text is one empty line; rows of equal id and text are one document
+    and get one result each; a null id comes last; an empty table gives an empty result; other
+    columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(15_485_863), text).alias("t2"))
-    lines = scratch.keep(line_table(docs, min_words))
+    lines = scratch.keep(line_table(docs, min_words, maximal))
     spans = scratch.keep(merged(later_copies(scratch, lines)))
     # The spans grow with the corpus: they meet the texts by sort-merge at every size.
     out = docs.join(spans.select(F.col("doc_id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "spans").hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")

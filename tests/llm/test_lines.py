@@ -58,3 +58,42 @@ def test_edge_cases(spark):
     got = sorted((str(r.doc_id), str(r.text), r.n_deleted) for r in line_dedup(twice).collect())
     assert got == [("9", long_, 0), ("9", long_, 0), ("None", "", 1), ("None", "None", 0)]
     assert line_dedup(twice.limit(0)).count() == 0
+
+
+def brute_maximal(rows, min_words):
+    """Deletes every sequence of lines with ``min_words`` words, of any length, that occurs at an earlier place."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(words[i:j]) >= min_words:
+                    if (run := tuple(lines[i:j])) in seen:
+                        gone.update(range(i, j))
+                    seen.add(run)
+        out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return out
+
+
+def whole(spark, rows, min_words):
+    return {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words, maximal=True).collect()}
+
+
+@pytest.mark.parametrize("seed, min_words, alphabet", [(5, 3, 2), (6, 9, 3), (7, 6, 12), (8, 40, 2)])
+def test_maximal_runs_equal_brute_force(spark, seed, min_words, alphabet):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 4))) for _ in range(alphabet)]
+    rows = [(k * 37 % 1009, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25)))) for k in range(40)]
+    assert whole(spark, rows, min_words) == brute_maximal(rows, min_words)
+
+
+def test_maximal_runs_go_to_their_last_line(spark):
+    line = lambda c, n: " ".join([c] * n)
+    rows = [(1, "\n".join(["p", line("a", 30), line("b", 30), line("c", 10)])), (2, "\n".join(["q", line("a", 30), line("b", 30), line("c", 10), "r"]))]
+    rows += [(3, "\n".join([line("d", 60), line("e", 10), "", "x"])), (4, "\n".join([line("d", 60), line("f", 10)])), (5, "\n".join([line("d", 60), line("f", 10)]))]
+    got = whole(spark, rows, 50)
+    assert got == brute_maximal(rows, 50)
+    # The longer copy counts, not the first: document 4 shares one line with 3, and 5 shares two with 4.
+    assert [got[k][2] for k in (1, 2, 3, 4, 5)] == [0, 3, 0, 1, 2]
