@@ -1,7 +1,12 @@
 """``change_journal``: a streaming source of journal records, and the delta that follows from them.
 
 A page file ``<first usn>.bin`` holds an eight-byte cursor (the next USN) and records. The
-offset is the next USN; a purged or recreated journal raises, and the caller runs a full scan.
+offset is the next USN and the journal's id. Beside the pages, ``journal.state`` may hold the
+buffer of the journal query: id, first, next and lowest valid USN. Every read checks that the
+cursor still describes the journal: the same id, no record between the cursor and the first
+unread page or between pages, and no cursor ahead of the journal; else it raises, and the
+caller runs a full scan. Without ``journal.state`` there is no id, and a recreated journal shows
+only by its USNs.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from stackroom.operators import merge
 from stackroom.sources.binary import JOURNAL_FIELDS, journal_records
 
 
+STATE = "journal.state"
+
+
 class JournalGap(RuntimeError):
     """The stored cursor no longer describes the journal."""
 
@@ -28,34 +36,70 @@ def pages(path: str) -> list[tuple[int, str]]:
     return sorted((int(n[:-4]), os.path.join(path, n)) for n in os.listdir(path) if n.endswith(".bin"))
 
 
+def state(path: str) -> tuple[int, int, int] | None:
+    """``journal id, next USN, lowest valid USN`` of ``journal.state``; None where that is not there."""
+    try:
+        with open(os.path.join(path, STATE), "rb") as f:
+            journal_id, _, following, lowest = struct.unpack_from("<Qqqq", f.read())
+    except FileNotFoundError:
+        return None
+    return journal_id, following, lowest
+
+
 class _Stream(SimpleDataSourceStreamReader):
     def __init__(self, options):
         self.path, self.first = options["path"], int(options.get("startingUsn", "-1"))
 
     def initialOffset(self):  # noqa: N802
-        found = pages(self.path)
-        start = self.first if self.first >= 0 else (found[0][0] if found else 0)
+        found, now = pages(self.path), state(self.path)
         if found and self.first >= 0 and self.first < found[0][0]:
             raise JournalGap(f"records from {self.first} to {found[0][0]} were purged")
-        return {"usn": start}
-
-    def _from(self, start: int, end: int | None = None):
-        rows, at = [], start
-        for first, name in pages(self.path):
-            if first < start or end is not None and first >= end:
-                continue
+        # Before any page, -1: the first page there will be.
+        start = self.first if self.first >= 0 else (found[0][0] if found else -1)
+        return {"usn": start, "journal": now[0] if now else None}
+
+    def _from(self, start: dict, end: dict | None = None):
+        """Records from one offset to another or the last page, and the offset behind them."""
+        # The pages are listed before the state is read: a journal recreated in between shows by its id.
+        found, now = pages(self.path), state(self.path)
+        at, known, stop = start["usn"], start.get("journal"), None if end is None else end["usn"]
+        if now:
+            if known is not None and known != now[0]:
+                raise JournalGap(f"the journal {known} was recreated as {now[0]}")
+            if 0 <= at < now[2]:
+                raise JournalGap(f"records from {at} to {now[2]} were purged")
+            if at > now[1]:
+                raise JournalGap(f"the cursor {at} is ahead of the journal, which ends at {now[1]}")
+        elif known is not None:
+            raise JournalGap(f"the state of journal {known} is gone")
+        rows, last = [], None
+        for first, name in found:
+            if stop is not None and at >= stop:
+                break
             with open(name, "rb") as f:
+                following = struct.unpack("<q", f.read(8))[0]
+                last = following if last is None else max(last, following)
+                if at < 0:
+                    at = first
+                if following <= at:
+                    continue
+                if first > at:
+                    raise JournalGap(f"records from {at} to {first} are in no page")
                 buffer = f.read()
-            rows += [(Decimal(r[0]), Decimal(r[1]), *r[2:]) for r in journal_records(buffer)]
-            at = struct.unpack_from("<q", buffer)[0]
-        return rows, at
+            rows += [(Decimal(r[0]), Decimal(r[1]), *r[2:]) for r in journal_records(buffer, 0) if r[4] >= at and (stop is None or r[4] < stop)]
+            at = following
+        if last is not None and at > last and (stop is None or at < stop):
+            raise JournalGap(f"the cursor {at} is ahead of the journal, whose pages end at {last}")
+        if stop is not None and at < stop:
+            raise JournalGap(f"records from {at} to {stop} are in no page")
+        return rows, {"usn": at, "journal": now[0] if now else known}
 
     def read(self, start):
-        rows, at = self._from(start["usn"])
-        return iter(rows), {"usn": at}
+        rows, end = self._from(start)
+        return iter(rows), end
 
     def readBetweenOffsets(self, start, end):  # noqa: N802
-        return iter(self._from(start["usn"], end["usn"])[0])
+        return iter(self._from(start, end)[0])
 
     def commit(self, end):
         pass

@@ -296,3 +296,67 @@ def test_drive_metadata_is_checked():
 def test_small_texts(spark):
     df = spark.createDataFrame([(0,), (1023,), (1536,), (5 * 1024**3,)], "n long")
     assert [r.t for r in df.select(browse.human_bytes(F.col("n")).alias("t")).collect()] == ["0 B", "1023 B", "1.5 KiB", "5.0 GiB"]
+
+
+def test_journal_reads_raise_where_the_cursor_no_longer_holds(tmp_path):
+    def page(first, following, *usns):
+        (tmp_path / f"{first}.bin").write_bytes(struct.pack("<q", following) + b"".join(record(2, 7, 1, "x", u) for u in usns))
+
+    stream = journal._Stream({"path": str(tmp_path)})
+    usns = lambda found: [r[4] for r in found[0]]
+    at = lambda usn, number=None: {"usn": usn, "journal": number}
+    assert stream.initialOffset() == at(-1) and usns(stream.read(at(-1))) == [] and stream.read(at(-1))[1] == at(-1)
+    page(100, 200, 100, 150)
+    page(200, 300, 200, 250)
+    assert usns(stream._from(at(-1))) == usns(stream._from(at(100))) == [100, 150, 200, 250] and stream.read(at(100))[1] == at(300)
+    # Inside a page, records are chosen by their number; an offset of an older checkpoint has no id.
+    assert usns(stream._from({"usn": 150})) == [150, 200, 250] and usns(stream._from(at(150), at(250))) == [150, 200]
+    assert usns(stream._from(at(100), at(200))) == [100, 150] and usns(stream._from(at(300))) == []
+    for cursor in (50, 301):  # purged, ahead
+        with pytest.raises(journal.JournalGap):
+            stream.read(at(cursor))
+    page(300, 400, 300)
+    os.remove(tmp_path / "200.bin")
+    for cursor in (100, 200):  # pages that don't join, a first unread page beyond the cursor
+        with pytest.raises(journal.JournalGap):
+            stream.read(at(cursor))
+    with pytest.raises(journal.JournalGap):
+        list(stream.readBetweenOffsets(at(200), at(400)))
+    assert usns(stream._from(at(300))) == [300]
+
+
+def test_journal_state_tells_a_recreated_journal(tmp_path):
+    (tmp_path / "100.bin").write_bytes(struct.pack("<q", 200) + record(2, 7, 1, "x", 100))
+    save = lambda number, following, lowest: (tmp_path / journal.STATE).write_bytes(struct.pack("<Qqqqqqq", number, 0, following, lowest, 1 << 40, 0, 0))
+    stream = journal._Stream({"path": str(tmp_path)})
+    save(2**63 + 5, 200, 0)
+    first = stream.initialOffset()
+    rows, end = stream.read(first)
+    assert first == {"usn": 100, "journal": 2**63 + 5} and len(list(rows)) == 1 and end == {"usn": 200, "journal": 2**63 + 5}
+    for number, following, lowest in ((6, 200, 0), (2**63 + 5, 400, 300), (2**63 + 5, 150, 0)):
+        save(number, following, lowest)
+        with pytest.raises(journal.JournalGap):
+            stream.read(end)
+    os.remove(tmp_path / journal.STATE)
+    with pytest.raises(journal.JournalGap):
+        stream.read(end)
+
+
+def test_journal_restart_from_a_checkpoint_sees_the_gap(spark, tmp_path):
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    seen = []
+
+    def run():
+        df = journal.journal_stream(spark, str(pages), 100)
+        q = df.writeStream.foreachBatch(lambda b, n: seen.extend(r.usn for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    (pages / "100.bin").write_bytes(struct.pack("<q", 200) + record(2, 7, 1, "x", 100))
+    run()
+    (pages / "300.bin").write_bytes(struct.pack("<q", 400) + record(2, 7, 1, "y", 300))
+    with pytest.raises(Exception, match="JournalGap"):
+        run()
+    (pages / "200.bin").write_bytes(struct.pack("<q", 300) + record(2, 7, 1, "z", 200))
+    run()
+    assert seen == [100, 200, 300]
