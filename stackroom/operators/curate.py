@@ -16,8 +16,6 @@ MARKERS = [
     SEP + r"(?:final|draft|copy|old|new|latest|edited|revised|backup)$",
     SEP + r"(?:19|20)\d\d[-_.]?\d\d[-_.]?\d\d$",
 ]
-#: Names carry few markers; a name with more keeps the rest.
-MARKER_ROUNDS = 6
 
 # Weights and bounds of a folder's score.
 MIN_FILES, THRESHOLD, TIE = 5, 0.6, 0.05
@@ -39,17 +37,22 @@ def extension(name: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(name, r"(?s)^.*[^.].*\.([^.]+)$", 1)), F.lit(""))
 
 
-def strip_markers(base: Column, rounds: int = MARKER_ROUNDS) -> Column:
-    """Remove markers from the end, again and again, but never the whole name.
+def strip_once(base: Column) -> Column:
+    """Remove each marker once from the end, but never the whole name.
 
     What is left of a marker never ends in a separator, so one that does is the name's own.
     """
-    for _ in range(rounds):
-        for marker in MARKERS:
-            base = F.regexp_replace(base, f"(?s)^(?!{marker})" + r"(.*?[^ _.\-])" + marker, "$1")
+    for marker in MARKERS:
+        base = F.regexp_replace(base, f"(?s)^(?!{marker})" + r"(.*?[^ _.\-])" + marker, "$1")
     return base
 
 
+def strip_markers(base: Column) -> Column:
+    """Remove markers from the end until none is left; a marker has two signs at least, so half the length is rounds enough."""
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.char_length(base) / 2).cast("int")))
+    return F.when(strip_once(base) == base, base).otherwise(F.aggregate(rounds, base, lambda left, _: strip_once(left)))
+
+
 def version_number(stem: Column) -> Column:
     """The last number that a version mark carries; null without one."""
     found = F.regexp_extract_all(F.lower(stem), F.lit(SEP + VERSION + SEP + r"(\d+)(?:\b|_|$)"), F.lit(1))
@@ -65,7 +68,7 @@ def version_members(files: DataFrame) -> DataFrame:
     stem, ext = stem_and_ext(F.col("name"))
     rows = live(files).where("read_state = 'ok' AND size_bytes > 0").withColumn("_stem", stem).withColumn("ext", F.lower(ext))
     rows = rows.withColumn("stem", F.trim(strip_markers(F.lower("_stem")))).where("stem <> ''")
-    rows = rows.withColumn("marked", strip_markers(F.lower("_stem"), 1) != F.lower("_stem"))
+    rows = rows.withColumn("marked", strip_once(F.lower("_stem")) != F.lower("_stem"))
     rows = rows.withColumn("number", version_number(F.col("_stem"))).withColumn("key", F.coalesce("content_id", F.concat(F.lit("file:"), F.col("id").cast("string"))))
     # Of equal contents the newest stands for them; the first by id of equally new ones.
     newest = F.struct(F.coalesce("mtime_ns", F.lit(0)).alias("t"), (-F.col("id")).alias("i"))

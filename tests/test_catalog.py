@@ -150,3 +150,9 @@ def test_mapping_is_one_to_one(spark):
     rows = [(1, "a/x.txt"), (2, "a/X.txt"), (3, "a/x (2).txt"), (4, "b/x.txt"), (5, "a/x.txt")]
     got = {r.seq: r.new for r in curate.name_mapping(spark.createDataFrame(rows, "seq long, new string")).collect()}
     assert got == {1: "a/x.txt", 2: "a/X (2).txt", 3: "a/x (2) (2).txt", 4: "b/x.txt", 5: "a/x (3).txt"}
+
+
+def test_any_number_of_version_marks_goes(spark):
+    names = ["report" + " draft v2" * 9, "report" + "_final(1)" * 20, "report", "(1)(2)", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(curate.strip_markers(F.lower("n")).alias("s"))
+    assert [r.s for r in df.collect()] == ["report", "report", "report", "(1)", None]
