@@ -169,10 +169,10 @@ def nodes_of(text: str, base: list[Span], hidden_only_if: bool = True) -> list[N
 
 
 def skip_edges(nodes: list[Node]) -> list[tuple[int, int]]:
-    """Each candidate with the previous one that is the same, and the previous one that is similar.
+    """Each candidate with the previous one that is the same, and the previous ones that are similar.
 
-    Numbers are similar that end in the same nine digits (seven for those of fewer). Two
-    edges a candidate at most, so a number repeated a thousand times makes a chain.
+    Numbers are similar that end in the same nine digits, or the same seven. Three edges a
+    candidate at most, so a number repeated a thousand times makes a chain.
     """
     edges, last = [], {}
     for i, n in enumerate(nodes):
@@ -180,7 +180,7 @@ def skip_edges(nodes: list[Node]) -> list[tuple[int, int]]:
         if n.key.isdigit():
             keys += [n.key[-w:] for w in (9, 7) if len(n.key) >= w]
         near = {last[k] for k in keys if k in last}
-        edges += [(j, i) for j in sorted(near)[-2:]]
+        edges += [(j, i) for j in sorted(near)]
         for k in keys:
             last[k] = i
     return edges

@@ -80,3 +80,10 @@ def test_edge_cases(spark):
     assert got == [("1", 0, ""), ("2", 0, ""), ("2", 0, ""), ("None", 1, "email:0:5")]
     assert pii.find_personal_data(df.limit(0)).count() == 0
     assert sorted(str(r.text) for r in pii.redact(df).collect()) == ["", "", "<EMAIL>", "None"]
+
+
+def test_the_last_equal_token_keeps_its_edge():
+    # The equal one first, then one that shares nine digits and one that shares seven.
+    keys = ["15551234567", "925551234567", "38881234567", "15551234567"]
+    nodes = [pii.Node(k, k + 1, None, key, []) for k, key in enumerate(keys)]
+    assert pii.skip_edges(nodes)[-3:] == [(0, 3), (1, 3), (2, 3)]
