@@ -140,6 +140,51 @@ def _features(text: str, lo: int, hi: int) -> list[int]:
     return out
 
 
+def _pieces(text: str, lo: int, hi: int, tails: dict[str, set[str]]) -> list[tuple[int, int]]:
+    """The run ``[lo, hi)`` of digit groups, cut where groups repeat a known number or are similar to one.
+
+    Similar numbers share their last seven digits, so a repeat ends with a group whose end has a
+    tail of ``tails``. It begins where it stops to agree with the known number: at a group that
+    begins there or later, if nine digits (or the whole number) remain, else at the group that
+    holds the place. What is left between repeats are pieces as well. A run that is one repeat
+    behind fewer than seven other digits stays whole.
+    """
+    groups = [(lo + g.start(), lo + g.end()) for g in re.finditer("[0-9]+", text[lo:hi])]
+    digits = digits_of(text[lo:hi])
+    at = [0]
+    for a, b in groups:
+        at.append(at[-1] + b - a)
+    cuts, free_from = [], 0
+    for e in range(1, len(groups) + 1):
+        known = tails.get(digits[max(at[free_from], at[e] - 7) : at[e]], ())
+        best = None
+        for key in known:
+            n = 7
+            while n < len(key) and at[e] - n > at[free_from] and digits[at[e] - n - 1] == key[-n - 1]:
+                n += 1
+            # The first group that begins inside the digits both share.
+            g = next(g for g in range(free_from, e + 1) if at[g] >= at[e] - n)
+            if at[e] - at[g] < min(9, len(key)) and at[g] > at[e] - n:
+                g -= 1
+            found = (n, -g)
+            best = found if best is None else max(best, found)
+        if best:
+            cuts.append((-best[1], e))
+            free_from = e
+    if not cuts or len(cuts) == 1 and cuts[0][1] == len(groups) and at[cuts[0][0]] < 7 and len(digits) <= 24:
+        return [(lo, hi)]
+    out, done = [], 0
+    for a, e in [*cuts, (len(groups), len(groups))]:
+        if done < a:
+            out.append((lo if done == 0 else groups[done][0], groups[a - 1][1]))
+        if a < e:
+            start = lo if a == 0 else groups[a][0]
+            # A bracket or plus sign before the first digit belongs to the number.
+            out.append((start - 1 if a and text[start - 1] in "(+" else start, groups[e - 1][1]))
+        done = e
+    return out
+
+
 def nodes_of(text: str, base: list[Span], hidden_only_if: bool = True) -> list[Node]:
     """Facts and hidden candidates in order of their place; a hidden one overlaps no fact.
 
@@ -156,11 +201,15 @@ def nodes_of(text: str, base: list[Span], hidden_only_if: bool = True) -> list[N
         k = bisect_right(starts, hi - 1)
         return not k or reach[k - 1] <= lo
 
+    tails: dict[str, set[str]] = {}
+    for n in out:
+        if n.kind != 0 and len(n.key) >= 7:
+            tails.setdefault(n.key[-7:], set()).add(n.key)
     for m in NUMBER.finditer(text):
-        lo, hi = m.span()
-        d = digits_of(m[0])
-        if 7 <= len(d) <= 24 and free(lo, hi):
-            out.append(Node(lo, hi, None, d, _features(text, lo, hi)))
+        for lo, hi in _pieces(text, *m.span(), tails):
+            d = digits_of(text[lo:hi])
+            if 7 <= len(d) <= 24 and free(lo, hi):
+                out.append(Node(lo, hi, None, d, _features(text, lo, hi)))
     if any(k == 0 for _, _, k in facts) or not hidden_only_if:
         for m in SPELLED.finditer(text):
             if free(*m.span()):

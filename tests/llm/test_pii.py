@@ -87,3 +87,15 @@ def test_the_last_equal_token_keeps_its_edge():
     keys = ["15551234567", "925551234567", "38881234567", "15551234567"]
     nodes = [pii.Node(k, k + 1, None, key, []) for k, key in enumerate(keys)]
     assert pii.skip_edges(nodes)[-3:] == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_repeats_inside_longer_runs_of_digits(spark):
+    w = weights(spark)
+    known = "Call +1 555 123 4567 or +44 20 7946 0958 now. "
+    for rest, masked in (
+        ("Later 1 555 123 4567 7731 2290 and so on", "Later <PHONE> 7731 2290 and so on"),
+        ("List 555 123 4567 44 20 7946 0958 7731 2290 1184 end", "List <PHONE> <PHONE> 7731 2290 1184 end"),
+        ("Order 90 000 118 (555) 123-4567 it was", "Order 90 000 118 <PHONE> it was"),
+        ("Only 7731 2290 118 7731 2290 118 7731 2290 118 here", "Only 7731 2290 118 7731 2290 118 7731 2290 118 here"),
+    ):
+        assert pii.mask(known + rest, pii.find(known + rest, w)[1]) == "Call <PHONE> or <PHONE> now. " + masked
