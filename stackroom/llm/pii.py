@@ -13,8 +13,8 @@ Loopy message passing spreads the facts along the skip edges, so a number or add
 patterns know in one place is known everywhere in the document. Candidates without any skip
 edge that leads to a fact keep their prior, which is "none".
 
-Weights are learned from a bounded sample of documents (``TRAIN_DOCS``): base spans give the
-labels, unary and skip features of the deciding signs are left out so that shape alone counts.
+Weights are learned from all candidates of a bounded sample of documents (``TRAIN_DOCS``), which
+are counted where they are found; the driver gets the counts alone. Base spans give the labels, unary and skip features of the deciding signs are left out so that shape alone counts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,6 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 #: Documents that the weights are learned from, the first by a hash of their id.
 TRAIN_DOCS = 2000
-#: Candidates that one of them gives at most (for learning only).
-TRAIN_NODES = 64
 #: Rounds of message passing; messages have settled when none moves by TOLERANCE.
 ROUNDS, TOLERANCE = 50, 1e-4
 #: Shape alone never makes a span: what it says for a kind stays this far below "none".
@@ -292,30 +291,48 @@ def find(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + added)
 
 
-def train(samples: list[list[Node]], rounds: int = 200, rate: float = 0.5) -> Weights:
+def tally(nodes: list[Node]) -> Counter:
+    """What learning needs of one document: ``(what, kind, other, features)`` and how often.
+
+    Candidates by kind and features ("node"), kinds that follow one another ("chain"), and
+    skip edges between facts by whether they agree ("skip").
+    """
+    kinds = [NONE if n.kind is None else n.kind for n in nodes]
+    out = Counter(("node", k, 0, tuple(n.features)) for k, n in zip(kinds, nodes))
+    out.update(("chain", a, b, ()) for a, b in zip(kinds, kinds[1:]))
+    out.update(("skip", int(kinds[a] == kinds[b]), 0, ()) for a, b in skip_edges(nodes) if NONE not in (kinds[a], kinds[b]))
+    return out
+
+
+def train(counts: Counter, rounds: int = 200, rate: float = 0.5) -> Weights:
     """Unary weights by multinomial logistic regression, chain by counts, skip by how often similar facts agree."""
     s = NONE + 1
-    unary, bias = np.zeros((N_FEATURES, s)), np.zeros(s)
-    nodes = [n for doc in samples for n in doc]
-    chain, agree, edges = np.ones((s, s)), 1.0, 2.0
-    for doc in samples:
-        kinds = [NONE if n.kind is None else n.kind for n in doc]
-        np.add.at(chain, (kinds[:-1], kinds[1:]), 1)
-        for a, b in skip_edges(doc):
-            if doc[a].kind is not None and doc[b].kind is not None:
-                edges += 1
-                agree += doc[a].kind == doc[b].kind
-    if nodes:
-        x = np.zeros((len(nodes), N_FEATURES))
-        for i, n in enumerate(nodes):
-            x[i, n.features] = 1
-        y = np.eye(s)[[NONE if n.kind is None else n.kind for n in nodes]]
+    unary, bias = np.zeros((N_FEATURES + 1, s)), np.zeros(s)
+    chain, agree, edges, rows = np.ones((s, s)), 1.0, 2.0, []
+    for (what, kind, other, features), n in sorted(counts.items()):
+        if what == "node":
+            rows.append((features, kind, n))
+        elif what == "chain":
+            chain[kind, other] += n
+        else:
+            edges += n
+            agree += kind * n
+    if rows:
+        # Features of a row by number, filled up with one that weighs nothing.
+        wide = max(len(f) for f, _, _ in rows)
+        x = np.array([[*f, *[N_FEATURES] * (wide - len(f))] for f, _, _ in rows], np.int32)
+        y = np.eye(s)[[k for _, k, _ in rows]]
+        share = np.array([n for _, _, n in rows], float)[:, None]
+        share /= share.sum()
         for _ in range(rounds):
-            z = x @ unary + bias
+            z = sum(unary[x[:, j]] for j in range(wide)) + bias
             p = np.exp(z - z.max(1, keepdims=True))
-            g = p / p.sum(1, keepdims=True) - y
-            unary -= rate * (x.T @ g / len(nodes) + 1e-3 * unary)
-            bias -= rate * g.mean(0)
+            g = (p / p.sum(1, keepdims=True) - y) * share
+            up = np.array([sum(np.bincount(x[:, j], g[:, k], N_FEATURES + 1) for j in range(wide)) for k in range(s)]).T
+            unary -= rate * (up + 1e-3 * unary)
+            unary[N_FEATURES] = 0
+            bias -= rate * g.sum(0)
+    unary = unary[:N_FEATURES]
     # Hidden tokens that share a fact's digits were left out of the evidence by construction:
     # the prior against a kind is bounded, so agreement with a fact can outweigh it.
     odds = np.clip(unary, -2, 2), np.clip(bias, -2, 2)
@@ -333,20 +350,19 @@ def fit(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> Weights:
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
         for b in batches:
-            rows = []
-            for k, t in ((s.start + k, t) for s, texts in text_slices(b.column(0)) for k, t in enumerate(texts)):
-                rows += [(k, n.start, n.end, -1 if n.kind is None else n.kind, n.key[:64], n.features) for n in nodes_of(t, base_spans(t), False)[:TRAIN_NODES]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["k", "lo", "hi", "kind", "key", "features"])
+            counts = Counter()
+            for _, texts in text_slices(b.column(0)):
+                for t in texts:
+                    counts.update(tally(nodes_of(t, base_spans(t), False)))
+            cols = list(zip(*((*key, n) for key, n in counts.items()))) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["what", "kind", "other", "features", "n"])
 
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     some = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    out: dict[tuple, list[Node]] = {}
-    part = some.select("text").mapInArrow(candidates, "k long, lo long, hi long, kind int, key string, features array<int>")
-    for r in sorted(part.withColumn("p", F.spark_partition_id()).collect()):
-        out.setdefault((r.p, r.k), []).append(Node(r.lo, r.hi, None if r.kind < 0 else r.kind, r.key, r.features))
-    return train(list(out.values()))
+    part = some.select("text").mapInArrow(candidates, "what string, kind int, other int, features array<int>, n long")
+    found = part.groupBy("what", "kind", "other", "features").agg(F.sum("n").alias("n")).collect()
+    return train(Counter({(r.what, r.kind, r.other, tuple(r.features)): r.n for r in found}))
 
 
 def _name(spans: list[Span]) -> str:

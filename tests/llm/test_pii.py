@@ -99,3 +99,13 @@ def test_repeats_inside_longer_runs_of_digits(spark):
         ("Only 7731 2290 118 7731 2290 118 7731 2290 118 here", "Only 7731 2290 118 7731 2290 118 7731 2290 118 here"),
     ):
         assert pii.mask(known + rest, pii.find(known + rest, w)[1]) == "Call <PHONE> or <PHONE> now. " + masked
+
+
+def test_learning_counts_every_candidate(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda counts: seen.append(counts))
+    texts = [" , ".join(f"{k} +1 555 {k:03d} 4567" for k in range(300)), "7731 2290 118 " * 40, None]
+    pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = sum((pii.tally(pii.nodes_of(t, pii.base_spans(t), False)) for t in texts if t), pii.Counter())
+    assert seen == [want]
+    assert sum(n for (what, kind, _, _), n in want.items() if what == "node" and kind == 3) == 300
