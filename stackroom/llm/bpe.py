@@ -2,7 +2,7 @@
 
 Text is cut where every vocabulary of this kind cuts, before a single space between two
 other characters, and each distinct piece of a batch is encoded once. A pre-token beyond
-``LEAF`` has no such cut: its halves are encoded apart (leaves in parallel), and around
+``LEAF`` has no such cut: its halves are encoded apart (leaves in one call), and around
 each join a window is encoded anew and grown until both sides agree exactly.
 
 Agreement is exact because a token sequence is the encoding of its text when each
