@@ -31,34 +31,60 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A bucketed, sorted table in the session's warehouse; ``keep_uid`` numbers the rows of one ``batch``."""
+    """A bucketed, sorted table in the session's catalog: one row per text, with the ``batch`` that brought it.
 
-    SCHEMA = "text_sha256 string, keep_id long, keep_uid long, n_cp long, batch string"
+    The number of buckets is a property of the table: it is read back when an index is opened,
+    whatever the session's shuffle partitions are then. Each append adds a file to a bucket;
+    ``compact`` makes them one sorted file again. One writer at a time.
+    """
+
+    SCHEMA = "text_sha256 string, keep_id long, n_cp long, batch string"
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(self.name):
-            self._write(spark.createDataFrame([], self.SCHEMA), "errorifexists")
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
+            if spark.catalog.tableExists(self._spare):  # a compaction stopped before its last step
+                spark.sql(f"ALTER TABLE {self._spare} RENAME TO {self.name}")
+            else:
+                self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                self._write(spark.createDataFrame([], self.SCHEMA), "errorifexists", self.name)
+                return
+        self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first().data_type)
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"{self.name} has {self.buckets} buckets, not {buckets}")
+
+    @property
+    def _spare(self) -> str:
+        return f"{self.name}__compacted"
+
+    def _write(self, rows: DataFrame, mode: str, table: str) -> None:
         (
             rows.repartition(self.buckets, "text_sha256")
             .write.mode(mode)
             .format("parquet")
             .bucketBy(self.buckets, "text_sha256")
             .sortBy("text_sha256")
-            .saveAsTable(self.name)
+            .saveAsTable(table)
         )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append_new(self, winners: DataFrame, batch: str) -> None:
-        """Append the winners whose hash the index lacks. ``winners`` has one row per hash."""
+        """Append the winners whose hash the index lacks. ``winners`` has one row per hash.
+
+        Run again after a failure, it appends what the first run did not.
+        """
         new = winners.hint("merge").join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-        self._write(new.select("text_sha256", "keep_id", "keep_uid", "n_cp", F.lit(batch).alias("batch")), "append")
+        self._write(new.select("text_sha256", "keep_id", "n_cp", F.lit(batch).alias("batch")), "append", self.name)
+
+    def compact(self) -> None:
+        """One sorted file per bucket. Stopped anywhere, the index is whole when it is opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._spare}")
+        self._write(self.read(), "errorifexists", self._spare)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {self._spare} RENAME TO {self.name}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -81,13 +107,17 @@ def _join_hot(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     return rows.join(F.broadcast(hot), "text_sha256").unionByName(rows.join(hot_keys, "text_sha256", "left_anti").join(rest, "text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row.
 
-    Null text counts as empty; empty texts are equal to one another. Of repeated rows (same
-    id, same text) exactly one is kept. Given an ``index`` with earlier batches, a text that
-    it holds keeps the earlier row's id and no row of this batch is kept. ``group_size``
-    counts this batch. An empty table gives an empty result.
+    Null text counts as empty; empty texts are equal to one another; of texts of any length all
+    is read. Of repeated rows (same id, same text) exactly one is kept. A null id comes last
+    among rows of equal length. Given an ``index`` with other batches, a text that it holds
+    keeps the earlier row's id and no row of this batch is kept. ``batch`` names this table: run
+    again under its name, whether the first run failed before, during or after its append, it
+    gives what the first run gives, as rows that the index has of this batch are its own.
+    Without a name the run can't be repeated against a kept index. ``group_size`` counts this
+    batch. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -95,15 +125,17 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     classes = scratch.keep(winners(rows))
     own = index is None
     index = index or DigestIndex(spark)
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     index.append_new(classes, batch)
-    held = index.read().select("text_sha256", "batch", F.col("keep_id").alias("held_id"), F.col("keep_uid").alias("held_uid"))
-    settled = scratch.keep(classes.drop("n_cp", "keep_id", "keep_uid").hint("merge").join(held, "text_sha256"))
+    held = index.read().select("text_sha256", "batch", F.col("keep_id").alias("held_id"))
+    # The row that stays is named by this run's numbers: a second run numbers its rows anew.
+    settled = classes.select("text_sha256", "group_size", F.col("keep_uid").alias("best")).hint("merge").join(held, "text_sha256")
+    settled = scratch.keep(settled.withColumn("best", F.when(F.col("batch") == batch, F.col("best"))).drop("batch"))
     out = _join_hot(rows, settled, rows.count()).select(
         "doc_id",
         F.col("held_id").alias("keep_id"),
         "group_size",
-        ((F.col("batch") == batch) & (F.col("uid") == F.col("held_uid"))).alias("kept"),
+        F.coalesce(F.col("uid") == F.col("best"), F.lit(False)).alias("kept"),
         "text_sha256",
     )
     out = scratch.finish(out)
