@@ -53,17 +53,19 @@ def slot_of(key, size: int = TABLE_SIZE):
 def place(df: DataFrame, key_col: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """``key_col, slot, shard`` for every row, in the rows' own partitions: no shuffle.
 
-    The lookup table has ``size`` rows whatever the data, and is broadcast. Repeated keys
-    and null keys get one place each; an empty table gives an empty result; other columns,
-    also ones named slot or shard, are not read.
+    The lookup table has ``size`` rows whatever the data, and is broadcast. Repeated keys,
+    null keys and keys of any length get one place each; a key column that is itself named
+    ``slot`` or ``shard`` comes back as ``key``; an empty table gives an empty result; other
+    columns, also ones named slot or shard, are not read.
     """
-    owner = lookup_table(shards, size)
-    table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner)], "slot int, shard string")
-    return df.select(F.col(key_col), slot_of(F.col(key_col), size).alias("slot")).join(F.broadcast(table), "slot").select(key_col, "slot", "shard")
+    table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(lookup_table(shards, size))], "_slot int, shard string")
+    name = "key" if key_col.lower() in ("slot", "shard") else key_col
+    rows = df.select(F.col(key_col).alias("_key"), slot_of(F.col(key_col), size).alias("_slot"))
+    return rows.join(F.broadcast(table), "_slot").select(F.col("_key").alias(name), F.col("_slot").alias("slot"), "shard")
 
 
 def write_sharded(df: DataFrame, key_col: str, shards: list[str], path: str, salts: int = 16) -> None:
     """Write whole rows in one folder per shard; each shard is cut by ``salts`` so no task holds one alone."""
-    placed = place(df.select(key_col).distinct(), key_col, shards).select(F.col(key_col).alias("_key"), F.col("shard").alias("_shard"))
-    rows = df.join(placed, F.col(key_col).eqNullSafe(F.col("_key"))).drop("_key")
-    rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))).repartition("_shard", "_salt").drop("_salt").write.partitionBy("_shard").parquet(path)
+    table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(lookup_table(shards))], "_slot int, _shard string")
+    rows = df.withColumn("_slot", slot_of(F.col(key_col))).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    rows.join(F.broadcast(table), "_slot").repartition("_shard", "_salt").drop("_salt", "_slot").write.partitionBy("_shard").parquet(path)
