@@ -54,8 +54,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-NUMBER = re.compile(r"(?<![0-9A-Za-z.])[(+]?[0-9](?:[\x20().-]{0,2}[0-9])++(?![0-9A-Za-z])")
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at | AT ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot | DOT |\.) ?[A-Za-z0-9-]++)+")
+# Candidates. A number that a letter follows is none, wherever in its run one begins: that is tested
+# after the match, and the lookbehinds let a run be tried once, so that every text takes linear time.
+NUMBER = re.compile(r"(?<![0-9A-Za-z.])[(+]?[0-9](?:[\x20().-]{0,2}[0-9])++")
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at | AT ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot | DOT |\.) ?[A-Za-z0-9-]++)+")
 
 FIELDS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -205,6 +207,8 @@ def nodes_of(text: str, base: list[Span], hidden_only_if: bool = True) -> list[N
         if n.kind != 0 and len(n.key) >= 7:
             tails.setdefault(n.key[-7:], set()).add(n.key)
     for m in NUMBER.finditer(text):
+        if text[m.end() : m.end() + 1].isascii() and text[m.end() : m.end() + 1].isalnum():
+            continue
         for lo, hi in _pieces(text, *m.span(), tails):
             d = digits_of(text[lo:hi])
             if 7 <= len(d) <= 24 and free(lo, hi):
@@ -255,27 +259,30 @@ def marginals(nodes: list[Node], w: Weights) -> np.ndarray:
     unary = np.exp(score - score.max(1, keepdims=True))
     skip = np.where(np.eye(s, dtype=bool), np.exp(w.skip), 1.0)
     chain = np.exp(w.chain)
-    pairs = [(i, i + 1, chain) for i in range(n - 1)] + [(a, b, skip) for a, b in skip_edges(nodes)]
-    src = np.array([p[0] for p in pairs] + [p[1] for p in pairs], int)
-    dst = np.array([p[1] for p in pairs] + [p[0] for p in pairs], int)
-    pot = np.array([p[2] for p in pairs] + [p[2].T for p in pairs]).reshape(-1, s, s)
-    back = np.r_[len(pairs) : 2 * len(pairs), 0 : len(pairs)].astype(int)
-    msg = np.full((len(src), s), 1 / s)
-    for _ in range(ROUNDS):
+    # Directed edges in four blocks, each with one potential: chain and skip, there and back.
+    ahead, far = np.arange(n - 1), np.array(skip_edges(nodes), int).reshape(-1, 2)
+    src = np.concatenate([ahead, far[:, 0], ahead + 1, far[:, 1]])
+    dst = np.concatenate([ahead + 1, far[:, 1], ahead, far[:, 0]])
+    half = len(ahead) + len(far)
+    blocks = [(0, chain), (len(ahead), skip), (half, chain.T), (half + len(ahead), skip.T)]
+    ends = [b[0] for b in blocks[1:]] + [2 * half]
+    back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
+
+    def gathered(msg: np.ndarray) -> np.ndarray:
         logs = np.log(msg)
-        into = np.zeros((n, s))
-        np.add.at(into, dst, logs)
-        out = np.log(unary[src]) + into[src] - logs[back]
+        return np.stack([np.bincount(dst, logs[:, k], n) for k in range(s)], 1)
+
+    msg = np.full((2 * half, s), 1 / s)
+    for _ in range(ROUNDS):
+        out = np.log(unary)[src] + gathered(msg)[src] - np.log(msg)[back]
         out = np.exp(out - out.max(1, keepdims=True))
-        new = np.einsum("es,est->et", out, pot)
+        new = np.concatenate([out[lo:hi] @ pot for (lo, pot), hi in zip(blocks, ends)])
         new = np.maximum(new / new.sum(1, keepdims=True), 1e-30)
         moved = np.abs(new - msg).max(initial=0)
         msg = 0.5 * msg + 0.5 * new
         if moved < TOLERANCE:
             break
-    into = np.zeros((n, s))
-    np.add.at(into, dst, np.log(msg))
-    out = np.log(unary) + into
+    out = np.log(unary) + gathered(msg)
     out = np.exp(out - out.max(1, keepdims=True))
     return out / out.sum(1, keepdims=True)
 
