@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from stackroom.llm.common import Scratch, components
 
 THRESHOLD = 0.98
-#: Pivots are sampled and broadcast: at most so many, and at most so many numbers in them.
-MAX_PIVOTS, MAX_PIVOT_NUMBERS = 1024, 4_000_000
+#: Pivots are sampled and broadcast: at most so many numbers in all of them, 32 MB. Up to there
+#: their number grows with the vectors, so that a cell keeps its size.
+MAX_PIVOT_NUMBERS = 4_000_000
+#: Distances held at once while vectors are dealt to cells.
+DISTANCES = 2_000_000
 #: Vectors that a cell should have, and vectors of a side of a block.
 CELL, BLOCK = 512, 1024
 
@@ -42,6 +45,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def cells_of(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, cell, home``: the nearest pivot of each row of ``x``, and the other cells where a partner may live."""
+    out = []
+    for lo in range(0, len(x), max(1, DISTANCES // len(p))):
+        part = x[lo : lo + max(1, DISTANCES // len(p))]
+        d = np.sqrt(np.maximum(2 - 2 * part @ p.T, 0))
+        own = d.argmin(1)
+        d0 = d[np.arange(len(part)), own][:, None]
+        apart = np.sqrt(np.maximum(2 - 2 * p[own] @ p.T, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            over = np.where(apart > 0, (d * d - d0 * d0) / (2 * apart), 0)
+        into = (d <= d0 + 2 * radius + 1e-9) & (over <= radius + 1e-9)
+        into[np.arange(len(part)), own] = True
+        row, cell = np.nonzero(into)
+        out.append((lo + row, cell, own[row] == cell))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def to_cells(reps: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) -> DataFrame:
     """``grp, cell, home, id, weight, unit``: every vector in its home cell, and copies where a partner may live."""
     held = reps.sparkSession.sparkContext.broadcast(pivots)
@@ -55,17 +76,7 @@ def to_cells(reps: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) ->
                 if p is None:
                     row, cell, home = np.arange(n), np.zeros(n, int), np.ones(n, bool)
                 else:
-                    x = _matrix(part.column(3), p.shape[1])
-                    d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
-                    own = d.argmin(1)
-                    d0 = d[np.arange(n), own][:, None]
-                    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[own]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        over = np.where(apart > 0, (d * d - d0 * d0) / (2 * apart), 0)
-                    into = (d <= d0 + 2 * radius + 1e-9) & (over <= radius + 1e-9)
-                    into[np.arange(n), own] = True
-                    row, cell = np.nonzero(into)
-                    home = own[row] == cell
+                    row, cell, home = cells_of(_matrix(part.column(3), p.shape[1]), p, radius)
                 take = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([take.column(0), pa.array(cell, pa.int32()), pa.array(home), take.column(1), take.column(2), take.column(3)], names=["grp", "cell", "home", "id", "weight", "unit"])
 
@@ -114,7 +125,7 @@ def link_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     reps = scratch.keep(classes.select("grp", F.col("f.uid").alias("id"), F.col("f.vec_id").alias("vec_id"), "weight", "unit"))
 
     n, dim = reps.agg(F.count("*"), F.max(F.size("unit"))).first()
-    wanted = min(MAX_PIVOTS, n // cell, MAX_PIVOT_NUMBERS // max(dim or 1, 1))
+    wanted = min(n // cell, MAX_PIVOT_NUMBERS // max(dim or 1, 1))
     pivots: dict[str, list] = {}
     if wanted > 1:
         for r in reps.select("grp", "unit").orderBy(F.xxhash64("id"), "id").limit(wanted).collect():
