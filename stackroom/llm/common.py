@@ -67,7 +67,9 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64) -> Data
 
     Alternating large-star and small-star steps; each round is two aggregations over the
     edges alone, and rounds grow with the logarithm of the longest path. The edge count
-    never grows, so a star of a third of all vertices stays linear.
+    never grows, so a star of a third of all vertices stays linear. The least neighbours are
+    written before they are joined: then adaptive execution can split the centre of a star,
+    which it can't in a stage that aggregates by the same key.
     """
     edges = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -75,11 +77,11 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64) -> Data
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = scratch.keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
-            large.join(low, "u")
+            large.join(least, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -88,7 +90,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64) -> Data
         new = scratch.keep(small)
         # Two numbers decide: when a round leaves the edge set as it was, every vertex points at its root.
         sign = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(edges)
+        scratch.drop(edges, low, large, least)
         edges = new
         if tuple(sign) == before:
             break

@@ -7,12 +7,15 @@
     the common order "rarest first" they meet in a list among their first
     ``held - C + 1`` values, and only those lists are kept. A passage that many documents
     share is frequent, comes last, and so makes no list unless it is most of a document.
-3.  The classes in a list of two or more are few. Lists are made of them once more, of all
-    their values, so that the share of a pair's own sizes takes the place of the six
-    deviations. In each such list everybody is compared with one leader, twice with different
-    leaders; only pairs of one list that are still in different components are then compared
-    in full. A list of n copies of one text costs a few times n comparisons; no pair that
-    could join two components is left out.
+3.  The classes in a list of two or more are few. Their overlaps are taken from lists of all
+    their values, so that the share of a pair's own sizes takes the place of the six deviations:
+    128 values can't tell a pair of 0.79 from one of 0.85 without loss, and documents of one form
+    would all be candidates of one another. An entry of such a list pairs only with sets up to a
+    size, and one of each pair has an entry that allows its own size; lists without such entries
+    go. In each list everybody is compared with one leader, twice with different leaders; only
+    pairs of one list that are still in different components are then compared in full. A list
+    of n copies of one text costs a few times n comparisons; no pair that could join two
+    components is left out.
 4.  A pair passes the union sketch's estimate, then exact Jaccard on the full sets.
 
 Shingles are compared by 63-bit hashes; two different shingles of a pair collide with
@@ -96,29 +99,42 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id binary, shingles array<long>")
 
 
-def prefix_lists(entries: DataFrame, held_at_most, need) -> DataFrame:
+def prefix_lists(scratch: Scratch, entries: DataFrame, held_at_most, need) -> DataFrame:
     """``v, id, n, rank, gap``: each class with the values through which it can meet a linked class.
 
     ``entries`` has a class's retained values, ``held_at_most`` of them, of which a linked
     class shares ``need``. ``rank`` counts them from the rarest on; ``gap`` of them no other class has.
     """
-    shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # Written before the join: only then can adaptive execution split a value that very many hold.
+    shared = scratch.keep(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     own = Window.partitionBy("id")
     held = entries.join(shared, "v").withColumn("gap", held_at_most - F.count("*").over(own))
     return held.withColumn("rank", F.col("gap") + F.row_number().over(own.orderBy("df", "v"))).where(F.col("rank") <= held_at_most - need + 1).select("v", "id", "n", "rank", "gap")
 
 
-def _can_link(a: str, b: str, percent: int):
-    """Whether a value of these ranks can be the rarest that the full sets of a linked pair share.
+def linkable(scratch: Scratch, lists: DataFrame, percent: int) -> DataFrame:
+    """The entries of ``lists`` that any pair can need, with ``most``, the largest set that an entry can link with.
 
-    Such a pair shares at least percent / (100 + percent) of the sum of its sizes.
+    Full sets of a linked pair share at least percent / (100 + percent) of the sum of their
+    sizes. So a value can be the rarest that a pair shares only if the other set's size is at
+    most ``most``, on both sides. Of such a pair, the entry with the larger set has n <= most: call
+    it strong. Lists without a strong entry make no pair, and others' entries only with strong
+    ones: a template that documents mostly copy, but for more of their own than a link
+    allows, leaves no entry, however many they are.
     """
-    least = F.expr(f"({percent} * (n_{a} + n_{b}) + {99 + percent}) div {100 + percent}")
-    return (F.col(f"rank_{a}") <= F.col(f"n_{a}") - least + 1) & (F.col(f"rank_{b}") <= F.col(f"n_{b}") - least + 1)
+    most = F.expr(f"((n - rank + 1) * {100 + percent}) div {percent} - n")
+    lists = lists.withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * percent)
+    strong = F.when(F.col("n") <= F.col("most"), F.col("n"))
+    some = scratch.keep(lists.groupBy("v").agg(F.min(strong).alias("least"), F.count("*").alias("c")).where("least IS NOT NULL AND c > 1").drop("c"))
+    return lists.join(some, "v").where("most >= least").drop("least")
+
+
+def _can_link(a: str, b: str):
+    return (F.col(f"n_{b}") <= F.col(f"most_{a}")) & (F.col(f"n_{a}") <= F.col(f"most_{b}"))
 
 
 def _side(lists: DataFrame, x: str) -> DataFrame:
-    return lists.select("v", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("rank").alias(f"rank_{x}"), F.col("component").alias(f"c_{x}"))
+    return lists.select("v", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("most").alias(f"most_{x}"), F.col("component").alias(f"c_{x}"))
 
 
 class _Links:
@@ -153,7 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Null and empty texts and texts without words have an empty set and link with nothing;
-    a text of fewer words than a shingle is one shingle. A null id is never the smallest of
+    a text of fewer words than a shingle is one shingle; a text of any length is read whole; equal
+    texts link. A null id is never the smallest of
     a component that has another; rows of one id repeat as they come; an empty table gives
     an empty result; other columns are not read.
     """
@@ -168,8 +185,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A class whose linked classes all fit in a sketch shares its share of its own set.
     exact = F.expr(f"(n * {percent} + 99) div 100")
     need = F.when(F.col("n") * 100 <= k * percent, exact).otherwise(F.lit(least_shared(k, percent)))
-    lists = scratch.keep(prefix_lists(reps.select("id", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(k)), need).select("v", "id"))
-    near = lists.join(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v")
+    lists = scratch.keep(prefix_lists(scratch, reps.select("id", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(k)), need).select("v", "id"))
+    often = scratch.keep(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"))
+    near = lists.join(often, "v")
     near = scratch.keep(near.select("id").distinct().join(classes, "id"))
     scratch.drop(lists)
     sketch = scratch.keep(rows.select(F.col("uid").alias("id"), "sketch").join(near.select("id"), "id"))
@@ -178,25 +196,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = full_sets(wanted, words).join(near.select("set_id", "id", "n"), "set_id").select("id", "n", "shingles")
     sets = scratch.keep(sets.dropDuplicates(["id"]))
     # Among them the same lists once more, now of all values: no slack for chance is needed.
-    lists = scratch.keep(prefix_lists(sets.select("id", "n", F.explode("shingles").alias("v")), F.col("n"), exact))
+    every = scratch.keep(sets.select("id", "n", F.explode("shingles").alias("v")))
+    lists = scratch.keep(prefix_lists(scratch, every, F.col("n"), exact))
+    lists = scratch.keep(linkable(scratch, lists, percent))
+    scratch.drop(every)
 
     links = _Links(scratch, sketch, sets, k, percent)
     member = near.select("id", F.col("id").alias("component"))
     for turn in range(leader_rounds):
         # First the class with the least of its own, which a group's copies resemble most; then any.
         order = F.col("gap") / F.col("n") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        at = lists.join(member, "id")
-        lead = at.groupBy("v").agg(F.min(F.struct(order.alias("order"), "id", "n", "rank", "component")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        lead = lead.where("lo <> hi").select("v", "l.id", "l.n", "l.rank", "l.component")
-        pairs = _side(at, "b").join(_side(lead, "a"), "v").where((F.col("c_a") != F.col("c_b")) & _can_link("a", "b", percent))
+        at = scratch.keep(lists.join(member, "id"))
+        lead = at.groupBy("v").agg(F.min(F.struct((F.col("n") > F.col("most")).alias("weak"), order.alias("order"), "id", "n", "most", "component")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        lead = scratch.keep(lead.where("lo <> hi").select("v", "l.id", "l.n", "l.most", "l.component"))
+        pairs = _side(at, "b").join(_side(lead, "a"), "v").where((F.col("c_a") != F.col("c_b")) & _can_link("a", "b"))
         links.confirm(pairs.select("a", "b").distinct())
         member = scratch.keep(_membership(near, components(scratch, links.found)))
-    at = lists.join(member, "id")
-    apart = at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
+    at = scratch.keep(lists.join(member, "id"))
+    apart = scratch.keep(at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v"))
     at = scratch.keep(at.join(apart, "v"))
-    left, right = _side(at, "a"), _side(at, "b")
-    rest = left.join(right, (left["v"] == right["v"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _can_link("a", "b", percent))
-    links.confirm(rest.select("a", "b").distinct().join(links.tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    # One of each pair is strong. Of two strong ones the smaller id stands first.
+    left, right = _side(at.where("n <= most"), "a"), _side(at, "b")
+    once = (F.col("n_b") > F.col("most_b")) | (F.col("a") < F.col("b"))
+    rest = left.join(right, (left["v"] == right["v"]) & once & (F.col("c_a") != F.col("c_b")) & _can_link("a", "b"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links.confirm(rest.join(links.tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
 
     found = components(scratch, links.found)
     roots = found.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
