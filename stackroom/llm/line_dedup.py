@@ -1,19 +1,23 @@
-"""Line dedup: repeated runs of lines by prefix doubling over line ids.
+"""Line dedup: a suffix array over line-id sequences, by distributed prefix doubling.
 
 Every line is a position of one long sequence of line ids; a document's end is a break that
-equals nothing. Doubling ranks positions by their first 1, 2, 4, ... lines: the rank of a
-window of 2h lines is made from the ranks of its halves, and a position whose window occurs
-once drops out, as no longer window of it can repeat. Positions of equal rank are the
-intervals of the suffix array whose common prefix has at least that many lines. A run of a
-given length is the overlap of two windows of the largest power of two in it. In each such
-interval the first position, in order of document id, stays, and later copies are deleted;
-deleted runs that touch or overlap are one span.
+equals nothing. Doubling sorts positions by their first 1, 2, 4, ... lines: the rank of a
+window of 2h lines is the place, in sorted order, of the pair of its halves' ranks, so ranks
+keep the order of the lines' ids and a rank is where its interval of the suffix array begins.
+Ranks come from one sort of the *distinct* pairs, each with how many positions have it, so a
+blank line that a third of all documents hold is one row there. A position whose window
+occurs once drops out: no longer window of it can repeat.
+
+Positions of equal rank are the intervals of the suffix array whose longest common prefix has
+at least that many lines. A run of a given length is the overlap of two windows of the largest
+power of two in it. In each such interval the first position, in order of document id, stays,
+and later copies are deleted; deleted runs that touch or overlap are one span.
 
 A maximal repeated run is the union of its shortest windows of ``min_words`` words: those that
 begin at each of its lines and those that end at each. Any line of a repeated run lies in a
 window that can't lose its first or last line without losing that line or falling below
-``min_words``, and a part of a repeated run is repeated as far back. So maximal runs need no
-extension against one earlier copy or another: windows by their last line are compared too.
+``min_words``, and a part of a repeated run is repeated as far back. So the intervals of those
+windows are all that is looked at, and what they delete is every maximal run whole.
 
 Only DataFrame functions are used.
 """
@@ -60,33 +64,45 @@ def line_table(docs: DataFrame, min_words: int, maximal: bool = False) -> DataFr
     return lines.withColumn("most", most).select(*DOC, "i", "a", "b", "run", "most")
 
 
-def repeated(positions: DataFrame) -> DataFrame:
-    """The positions whose rank occurs more than once."""
-    often = positions.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return positions.join(often, ["a", "b"])
+def ranked(scratch: Scratch, positions: DataFrame, rank: str, *keys: str) -> DataFrame:
+    """``positions`` whose ``keys`` occur more than once, with ``rank``: how many such positions sort before theirs.
+
+    Distinct keys are sorted over all tasks by ranges, numbered within a range, and moved by
+    what the ranges before hold. The intervals are written before the join, so that adaptive
+    execution can split a very common one.
+    """
+    often = positions.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
+    often = scratch.keep(often.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    # One row for each range.
+    sizes = often.groupBy("range").agg(F.sum("size").alias("of_range"))
+    before = sizes.select("range", (F.sum("of_range").over(Window.orderBy("range")) - F.col("of_range")).alias("before"))
+    place = F.sum("size").over(Window.partitionBy("range").orderBy(*keys)) - F.col("size")
+    intervals = scratch.keep(often.withColumn("place", place).join(F.broadcast(before), "range").select(*keys, (F.col("place") + F.col("before")).alias(rank)))
+    return positions.join(intervals, list(keys))
 
 
 def later_copies(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """``doc_id, t1, t2, i, run``: positions whose run occurs at an earlier position."""
-    at, h, runs = scratch.keep(repeated(lines)), 1, None
+    at, h, runs = scratch.keep(ranked(scratch, lines, "r", "a", "b").drop("a", "b")), 1, None
     while True:
-        second = at.select(*[F.col(c).alias(f"{c}_") for c in DOC], F.col("i").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        second = at.select(*[F.col(c).alias(f"{c}_") for c in DOC], F.col("i").alias("j"), F.col("r").alias("r2"))
         here = at.where((F.col("most") >= h) & (F.col("run") < 2 * h))
         lengths = F.sequence(F.greatest("run", F.lit(h)), F.least("most", F.lit(2 * h - 1)))
-        here = here.select(*DOC, "i", "a", "b", F.explode(lengths).alias("run"))
+        here = here.select(*DOC, "i", "r", F.explode(lengths).alias("run"))
         here = here.join(second, here["doc_id"].eqNullSafe(second["doc_id_"]) & (here["t1"] == second["t1_"]) & (here["t2"] == second["t2_"]) & (second["j"] == here["i"] + here["run"] - h))
-        here = scratch.keep(here.select(*DOC, "i", "run", *_rank("run", "a", "b", "a2", "b2")))
+        here = scratch.keep(here.select(*DOC, "i", "run", "r", "r2"))
         runs = here if runs is None else runs.unionByName(here)
         if at.where(F.col("most") >= 2 * h).isEmpty():
             break
         half = Window.partitionBy(*DOC).orderBy("i").rangeBetween(h, h)
-        pairs = at.withColumn("a2", F.first("a").over(half)).withColumn("b2", F.first("b").over(half)).where("a2 IS NOT NULL")
-        new = scratch.keep(repeated(pairs.select(*DOC, "i", "run", "most", *_rank("a", "b", "a2", "b2"))))
-        scratch.drop(at)
+        pairs = scratch.keep(at.withColumn("r2", F.first("r").over(half)).where("r2 IS NOT NULL"))
+        new = scratch.keep(ranked(scratch, pairs, "rank", "r", "r2").select(*DOC, "i", "run", "most", F.col("rank").alias("r")))
+        scratch.drop(at, pairs)
         at, h = new, 2 * h
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), *DOC, "i")
-    first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    return runs.join(first, ["a", "b"]).where(place != F.col("first")).select(*DOC, "i", "run")
+    # Written before the join, like the intervals.
+    first = scratch.keep(runs.groupBy("run", "r", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return runs.join(first, ["run", "r", "r2"]).where(place != F.col("first")).select(*DOC, "i", "run")
 
 
 def merged(copies: DataFrame) -> DataFrame:
@@ -104,10 +120,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
 
     A run is the shortest sequence of whole lines from some line on that has ``min_words``
     words; it is deleted where the same lines occur earlier, by document id, then by line,
-    in the same document too. That is the definition of the query's SQL, and it leaves the last
-    lines of a longer repeated run when no run from some line on ends there; with ``maximal``
-    every repeated sequence of at least ``min_words`` words goes whole. Null text stays null
-    with no lines; an empty text is one empty line; rows of equal id and text are one document
+    in the same document too, which leaves the last lines of a longer repeated run when no run
+    from some line on ends there; with ``maximal`` every repeated sequence of at least
+    ``min_words`` words goes whole. Null text stays null with no lines; of texts of any length
+    all lines count; an empty text is one empty line; rows of equal id and text are one document
     and get one result each; a null id comes last; an empty table gives an empty result; other
     columns are not read.
     """
