@@ -39,7 +39,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).drop("spans")
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"), maximal=True).drop("spans")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,9 @@ n AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t),
 w AS (SELECT doc_id, ls, i, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w FROM n),
 b AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) - w AS before, sum(w) OVER (PARTITION BY doc_id) AS total FROM w),
 r AS (SELECT doc_id, ls, i, before, total, max(i) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS last FROM b),
-k AS (SELECT doc_id, i, last, ls[i:last] AS run FROM r WHERE before + 50 <= total),
+z AS (SELECT doc_id, before, max(i) AS i FROM b GROUP BY ALL),
+e AS (SELECT b.doc_id, z.i, b.i AS last, b.ls FROM b ASOF JOIN z ON b.doc_id = z.doc_id AND b.before + b.w - 50 >= z.before),
+k AS (SELECT doc_id, i, last, ls[i:last] AS run FROM (SELECT doc_id, i, last, ls FROM r WHERE before + 50 <= total UNION SELECT * FROM e)),
 f AS (SELECT run, min({'d': doc_id, 'i': i}) AS first FROM k GROUP BY 1),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM k JOIN f USING (run) WHERE {'d': doc_id, 'i': i} <> first),
 q AS (SELECT n.doc_id, string_agg(n.ls[n.i], chr(10) ORDER BY n.i) FILTER (g.i IS NULL) AS text, count(g.i) AS gone FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY 1)
