@@ -2,8 +2,9 @@
 
 Text is cut where every vocabulary of this kind cuts, before a single space between two
 other characters, and each distinct piece of a batch is encoded once. A pre-token beyond
-``LEAF`` has no such cut: its halves are encoded apart (leaves in one call), and around
-each join a window is encoded anew and grown until both sides agree exactly.
+``LEAF`` has no such cut: its halves are encoded apart and in parallel, by threads (the library
+works outside the interpreter's lock), and around each join a window is encoded anew and
+grown until both sides agree exactly; the joins of a level run in parallel as well.
 
 Agreement is exact because a token sequence is the encoding of its text when each
 neighbouring pair is the encoding of its own text; the window's two seams are tested so.
@@ -15,6 +16,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from stackroom.llm.common import bounded_batches
 
 #: Longest pre-token, in bytes, that is encoded whole.
 LEAF = 2048
+#: Threads that encode the halves of one long pre-token; others of a text wait, so more aren't needed.
+THREADS = 4
 #: Characters of pieces that a worker remembers; beyond it the memory starts afresh.
 CACHE_CHARS = 4_000_000
 #: Distinct pieces encoded by one call.
@@ -104,11 +108,17 @@ class TreeEncoder:
         parts = [mapped]
         while len(parts[0]) > self.leaf:
             parts = [h for p in parts for h in ((p[: len(p) // 2], p[len(p) // 2 :]) if len(p) > 1 else (p,))]
-        level = self._leaf(parts)
-        while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        with ThreadPoolExecutor(THREADS) as threads:
+            each = -(-len(parts) // THREADS)
+            runs = threads.map(self._leaf, [parts[i : i + each] for i in range(0, len(parts), each)])
+            level = [ids for run in runs for ids in run]
+            while len(level) > 1:
+                level = list(threads.map(self._joined, [level[i : i + 2] for i in range(0, len(level), 2)]))
         return level[0]
 
+    def _joined(self, some: list[list[int]]) -> list[int]:
+        return self.join(*some) if len(some) == 2 else some[0]
+
     def _long(self, piece: str) -> list[int]:
         ids: list[int] = []
         for part in self.cut.split(piece) if self.cut else [piece]:
@@ -125,6 +135,10 @@ class TreeEncoder:
         for p in odd:
             self.known[p] = np.array(self._long(p), "<u4").tobytes()
         plain = list(wanted.difference(odd))
+        if not self.special:  # nothing to stand between pieces
+            for p, e in zip(plain, self.tok.encode_batch_fast(plain, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
+            plain = []
         for i in range(0, len(plain), RUN):
             # A special token stands between the pieces of a run: it cuts like the ends of a text.
             some = plain[i : i + RUN]
@@ -146,6 +160,13 @@ class TreeEncoder:
         return self.tok.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
+class WholeEncoder(TreeEncoder):
+    """For vocabularies whose cuts aren't known here: the library encodes each text whole."""
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def text_slices(column: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[slice, list[str]]]:
     """Runs of a text column of about ``most`` bytes (a longer text is a run of its own), nulls as empty texts.
 
@@ -204,8 +225,8 @@ def decode_column(encoded: DataFrame, path: str) -> DataFrame:
 def encode_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row, encoded and decoded in one pass.
 
-    Null text counts as empty, which has no ids; repeated rows repeat; an empty table gives
-    an empty result; other columns are not read. Nothing is shuffled.
+    Null text counts as empty, which has no ids; repeated rows repeat; a text of any length is
+    encoded whole; an empty table gives an empty result; other columns are not read. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
