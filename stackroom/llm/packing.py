@@ -12,6 +12,8 @@ by its length and rank.
 
 from __future__ import annotations
 
+import json
+import logging
 import re
 import unicodedata
 import zlib
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackroom.llm.bpe import CACHE_CHARS, RUN, TreeEncoder, encoder, text_slices
+from stackroom.llm.bpe import CACHE_CHARS, RUN, TreeEncoder, WholeEncoder, encoder, text_slices
 from stackroom.llm.common import Scratch
 
 CAPACITY = 4096
@@ -111,11 +113,30 @@ class WordEncoder(TreeEncoder):
         return [b"".join(map(self.known.__getitem__, next(cut))) if ok else next(other) for ok in plain]
 
 
+#: Fixed value: the pre-tokenizer's expression that ``WORD`` stands for.
+WORD_EXPRESSION = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def encoder_kind(path: str) -> type[TreeEncoder]:
+    """The way to encode with a vocabulary file: one of the two that know its cuts, else the library's own."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    steps = cut.get("pretokenizers") or [cut]
+    names = [step.get("type") for step in steps]
+    plain = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if names == ["ByteLevel"] and cut.get("use_regex") and not cut.get("add_prefix_space") and spec.get("normalizer") is None and not model.get("end_of_word_suffix"):
+        return TreeEncoder
+    if names == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": WORD_EXPRESSION} and plain == ["NFC", "Replace", "Lowercase"] and model.get("end_of_word_suffix") == "</w>":
+        return WordEncoder
+    return WholeEncoder
+
+
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their place in the document, checksum, and rank among this task's pieces of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, kind=WordEncoder)
+        enc = encoder(path, kind=encoder_kind(path))
         part = TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
         for b in batches:
@@ -158,17 +179,25 @@ def _knapsack(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[floa
     return best[capacity], pattern
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, max_rounds: int = 400) -> list[tuple[list[int], int]]:
-    """Patterns and whole multiplicities covering at most the demand: the linear program's solution rounded down."""
+def configurations(sizes: list[int], demand: list[int], capacity: int, max_rounds: int = 5000) -> list[tuple[list[int], int]]:
+    """Patterns and whole multiplicities covering at most the demand: the linear program's solution rounded down.
+
+    Columns are added until what they cost is within half a sequence of a lower bound, the
+    value of the duals scaled down to what any pattern allows. ``max_rounds`` only guards against
+    a program that circles; reaching it is logged with the gap that is left.
+    """
     m = len(sizes)
     patterns = [[capacity // s if k == j else 0 for j, _ in enumerate(sizes)] for k, s in enumerate(sizes)]
     basis = np.array(patterns, float).T
-    amount = np.linalg.solve(basis, np.array(demand, float))
-    for _ in range(max_rounds):
-        duals = np.linalg.solve(basis.T, np.ones(m))
-        value, pattern = _knapsack(np.maximum(duals, 0), sizes, capacity)
-        if value <= 1 + 1e-9:
+    amount, least = np.linalg.solve(basis, np.array(demand, float)), 0.0
+    for turn in range(max_rounds):
+        duals = np.maximum(np.linalg.solve(basis.T, np.ones(m)), 0)
+        value, pattern = _knapsack(duals, sizes, capacity)
+        least = max(least, float(duals @ np.array(demand, float)) / max(value, 1.0))
+        if value <= 1 + 1e-9 or amount.sum() - least < 0.5:
             break
+        if turn == max_rounds - 1:
+            logging.getLogger(__name__).warning("packing: stopped with %.1f sequences over the lower bound of %.1f", amount.sum() - least, least)
         move = np.linalg.solve(basis, np.array(pattern, float))
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(move > 1e-9, amount / move, np.inf)
@@ -287,8 +316,8 @@ def grouped_plan(counts: dict[int, int], capacity: int, groups: int, large: floa
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece.
 
-    Null text counts as empty and packs as its end mark alone; repeated rows are packed each;
-    an empty table gives an empty result; other columns are not read.
+    Null text counts as empty and packs as its end mark alone; repeated rows and rows without an
+    id are packed each; a text of any length is cut into as many pieces as it takes; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
