@@ -23,40 +23,71 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts as toxic go."""
+    """Documents that the toxicity operator predicts as toxic go.
+
+    Null and empty texts carry no mark and stay, as do rows with a null id; texts of any length
+    are read whole; rows that repeat go or stay together; an id with several texts goes if one
+    of them is toxic; an empty table stays empty; other columns, whatever their names, pass.
+    """
     scores = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, scores.where("predicted = 1"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, also where rows repeat; an id that stands for several texts keeps the others."""
+    """Of equal texts one row stays, also where rows repeat; an id that stands for several texts keeps the others.
+
+    Null counts as an empty text, and empty texts are equal; of equal texts the longest original,
+    then the smallest id, null last, stays; texts of any length are read whole; an empty table
+    stays empty; other columns pass, also ones with names that are used here.
+    """
     found = exact_dedup.exact_dedup(docs)
-    key = ["doc_id", "text_sha256"]
-    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha"))
-    lost = found.where("NOT kept").select(*key).distinct()
-    gone = lost.join(stays, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    again = lost.join(stays, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    hashed = docs.withColumn("text_sha256", exact_dedup.text_sha256("text"))
-    once = hashed.join(gone, same, "left_anti")
+    taken = {c.lower() for c in docs.columns}
+    own, sha = (next(n for n in (f"{'_' * k}{name}" for k in range(1, 99)) if n.lower() not in taken) for name in ("id", "sha"))
+    key = lambda rows: rows.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct()
+    stays, lost = key(found.where("kept")), key(found.where("NOT kept"))
+    gone = lost.join(stays, lost[own].eqNullSafe(stays[own]) & (lost[sha] == stays[sha]), "left_anti")
+    again = lost.join(stays, lost[own].eqNullSafe(stays[own]) & (lost[sha] == stays[sha]), "left_semi")
+    # The hash goes through the joins under a name that no column has.
+    hashed = "_" + sha
+    rows = docs.withColumn(hashed, exact_dedup.text_sha256("text"))
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, left["doc_id"].eqNullSafe(right[own]) & (left[hashed] == right[sha]), how)
+
+    once = joined(rows, gone, "left_anti")
     if not again.isEmpty():
-        once = once.join(again, same, "left_anti").unionByName(once.join(again, same, "left_semi").dropDuplicates(key))
+        once = joined(once, again, "left_anti").unionByName(joined(once, again, "left_semi").dropDuplicates(["doc_id", hashed]))
     return once.select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id stays; an id goes if none of its rows is to stay."""
+    """Of near duplicates the document with the smallest id stays; an id goes if none of its rows is to stay.
+
+    Near means a similarity of 0.8 or more of five-word shingles, the rule of every stage that
+    has no contract of its own. Null, empty and wordless texts are like nothing and stay, as do
+    rows with a null id; texts of any length are read whole; equal rows stay or go together; an
+    empty table stays empty; other columns, whatever their names, pass.
+    """
     found = minhash.near_duplicates(docs).where("doc_id IS NOT NULL")
     return _without(docs, found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the name of its kind; ``n_chars`` follows the text."""
+    """Personal data gives way to the name of its kind; ``n_chars`` follows the text.
+
+    Null texts stay null, with null ``n_chars``, and empty ones empty; texts of any length are
+    read whole; every row stays, repeated ones and those with a null id too; an empty table
+    stays empty; other columns, whatever their names, pass.
+    """
     return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids."""
+    """Token sequences of at most 4096 ids: one row a piece, as the packing operator gives it.
+
+    Null and empty texts are their end mark alone; rows that repeat and rows with a null id are
+    packed each; longer texts are cut; an empty table gives no pieces; other columns go.
+    """
     return packing.pack(docs, bpe.public_path("word_bpe_49k.json"))
 
 
