@@ -105,10 +105,11 @@ def prefix_lists(scratch: Scratch, entries: DataFrame, held_at_most, need) -> Da
     ``entries`` has a class's retained values, ``held_at_most`` of them, of which a linked
     class shares ``need``. ``rank`` counts them from the rarest on; ``gap`` of them no other class has.
     """
-    # Written before the join: only then can adaptive execution split a value that very many hold.
+    # Written before the join, and joined by sort-merge at every size: only then can adaptive
+    # execution split a value that very many hold.
     shared = scratch.keep(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     own = Window.partitionBy("id")
-    held = entries.join(shared, "v").withColumn("gap", held_at_most - F.count("*").over(own))
+    held = entries.join(shared.hint("merge"), "v").withColumn("gap", held_at_most - F.count("*").over(own))
     return held.withColumn("rank", F.col("gap") + F.row_number().over(own.orderBy("df", "v"))).where(F.col("rank") <= held_at_most - need + 1).select("v", "id", "n", "rank", "gap")
 
 
@@ -126,7 +127,7 @@ def linkable(scratch: Scratch, lists: DataFrame, percent: int) -> DataFrame:
     lists = lists.withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * percent)
     strong = F.when(F.col("n") <= F.col("most"), F.col("n"))
     some = scratch.keep(lists.groupBy("v").agg(F.min(strong).alias("least"), F.count("*").alias("c")).where("least IS NOT NULL AND c > 1").drop("c"))
-    return lists.join(some, "v").where("most >= least").drop("least")
+    return lists.join(some.hint("merge"), "v").where("most >= least").drop("least")
 
 
 def _can_link(a: str, b: str):
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = F.when(F.col("n") * 100 <= k * percent, exact).otherwise(F.lit(least_shared(k, percent)))
     lists = scratch.keep(prefix_lists(scratch, reps.select("id", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(k)), need).select("v", "id"))
     often = scratch.keep(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"))
-    near = lists.join(often, "v")
+    near = lists.join(often.hint("merge"), "v")
     near = scratch.keep(near.select("id").distinct().join(classes, "id"))
     scratch.drop(lists)
     sketch = scratch.keep(rows.select(F.col("uid").alias("id"), "sketch").join(near.select("id"), "id"))
@@ -197,9 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.keep(sets.dropDuplicates(["id"]))
     # Among them the same lists once more, now of all values: no slack for chance is needed.
     every = scratch.keep(sets.select("id", "n", F.explode("shingles").alias("v")))
-    lists = scratch.keep(prefix_lists(scratch, every, F.col("n"), exact))
-    lists = scratch.keep(linkable(scratch, lists, percent))
-    scratch.drop(every)
+    prefixes = scratch.keep(prefix_lists(scratch, every, F.col("n"), exact))
+    lists = scratch.keep(linkable(scratch, prefixes, percent))
+    scratch.drop(every, prefixes)
 
     links = _Links(scratch, sketch, sets, k, percent)
     member = near.select("id", F.col("id").alias("component"))
@@ -209,12 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = scratch.keep(lists.join(member, "id"))
         lead = at.groupBy("v").agg(F.min(F.struct((F.col("n") > F.col("most")).alias("weak"), order.alias("order"), "id", "n", "most", "component")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         lead = scratch.keep(lead.where("lo <> hi").select("v", "l.id", "l.n", "l.most", "l.component"))
-        pairs = _side(at, "b").join(_side(lead, "a"), "v").where((F.col("c_a") != F.col("c_b")) & _can_link("a", "b"))
+        pairs = _side(at, "b").join(_side(lead, "a").hint("merge"), "v").where((F.col("c_a") != F.col("c_b")) & _can_link("a", "b"))
         links.confirm(pairs.select("a", "b").distinct())
         member = scratch.keep(_membership(near, components(scratch, links.found)))
     at = scratch.keep(lists.join(member, "id"))
     apart = scratch.keep(at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v"))
-    at = scratch.keep(at.join(apart, "v"))
+    at = scratch.keep(at.join(apart.hint("merge"), "v"))
     # One of each pair is strong. Of two strong ones the smaller id stands first.
     left, right = _side(at.where("n <= most"), "a"), _side(at, "b")
     once = (F.col("n_b") > F.col("most_b")) | (F.col("a") < F.col("b"))
