@@ -68,8 +68,8 @@ def ranked(scratch: Scratch, positions: DataFrame, rank: str, *keys: str) -> Dat
     """``positions`` whose ``keys`` occur more than once, with ``rank``: how many such positions sort before theirs.
 
     Distinct keys are sorted over all tasks by ranges, numbered within a range, and moved by
-    what the ranges before hold. The intervals are written before the join, so that adaptive
-    execution can split a very common one.
+    what the ranges before hold. The intervals are written before the join, and joined by
+    sort-merge at every size, so that adaptive execution can split a very common one.
     """
     often = positions.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
     often = scratch.keep(often.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
@@ -78,7 +78,7 @@ def ranked(scratch: Scratch, positions: DataFrame, rank: str, *keys: str) -> Dat
     before = sizes.select("range", (F.sum("of_range").over(Window.orderBy("range")) - F.col("of_range")).alias("before"))
     place = F.sum("size").over(Window.partitionBy("range").orderBy(*keys)) - F.col("size")
     intervals = scratch.keep(often.withColumn("place", place).join(F.broadcast(before), "range").select(*keys, (F.col("place") + F.col("before")).alias(rank)))
-    return positions.join(intervals, list(keys))
+    return positions.join(intervals.hint("merge"), list(keys))
 
 
 def later_copies(scratch: Scratch, lines: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def later_copies(scratch: Scratch, lines: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), *DOC, "i")
     # Written before the join, like the intervals.
     first = scratch.keep(runs.groupBy("run", "r", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return runs.join(first, ["run", "r", "r2"]).where(place != F.col("first")).select(*DOC, "i", "run")
+    return runs.join(first.hint("merge"), ["run", "r", "r2"]).where(place != F.col("first")).select(*DOC, "i", "run")
 
 
 def merged(copies: DataFrame) -> DataFrame:
