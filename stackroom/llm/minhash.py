@@ -124,7 +124,7 @@ def linkable(scratch: Scratch, lists: DataFrame, percent: int) -> DataFrame:
     allows, leaves no entry, however many they are.
     """
     most = F.expr(f"((n - rank + 1) * {100 + percent}) div {percent} - n")
-    lists = lists.withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * percent)
+    lists = scratch.keep(lists.select("v", "id", "n", "gap", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * percent))
     strong = F.when(F.col("n") <= F.col("most"), F.col("n"))
     some = scratch.keep(lists.groupBy("v").agg(F.min(strong).alias("least"), F.count("*").alias("c")).where("least IS NOT NULL AND c > 1").drop("c"))
     return lists.join(some.hint("merge"), "v").where("most >= least").drop("least")
@@ -182,25 +182,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("f")
     classes = scratch.keep(some.groupBy("set_id").agg(first, F.min("n").alias("n")).select("set_id", "n", F.col("f.uid").alias("id"), F.col("f.doc_id").alias("doc_id")))
 
-    reps = some.select(F.col("uid").alias("id"), "sketch").join(classes.select("id", "n"), "id")
+    reps = some.select(F.col("uid").alias("id"), "sketch").join(classes.select("id", "n").hint("merge"), "id")
     # A class whose linked classes all fit in a sketch shares its share of its own set.
     exact = F.expr(f"(n * {percent} + 99) div 100")
     need = F.when(F.col("n") * 100 <= k * percent, exact).otherwise(F.lit(least_shared(k, percent)))
     lists = scratch.keep(prefix_lists(scratch, reps.select("id", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(k)), need).select("v", "id"))
     often = scratch.keep(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"))
     near = lists.join(often.hint("merge"), "v")
-    near = scratch.keep(near.select("id").distinct().join(classes, "id"))
+    near = scratch.keep(near.select("id").distinct().hint("merge").join(classes, "id"))
     scratch.drop(lists)
-    sketch = scratch.keep(rows.select(F.col("uid").alias("id"), "sketch").join(near.select("id"), "id"))
+    sketch = scratch.keep(rows.select(F.col("uid").alias("id"), "sketch").join(near.select("id").hint("merge"), "id"))
     # The texts of those classes alone are shingled again, for their full sets.
     wanted = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
     sets = full_sets(wanted, words).join(near.select("set_id", "id", "n"), "set_id").select("id", "n", "shingles")
     sets = scratch.keep(sets.dropDuplicates(["id"]))
     # Among them the same lists once more, now of all values: no slack for chance is needed.
     every = scratch.keep(sets.select("id", "n", F.explode("shingles").alias("v")))
-    prefixes = scratch.keep(prefix_lists(scratch, every, F.col("n"), exact))
+    prefixes = prefix_lists(scratch, every, F.col("n"), exact)
     lists = scratch.keep(linkable(scratch, prefixes, percent))
-    scratch.drop(every, prefixes)
+    scratch.drop(every)
 
     links = _Links(scratch, sketch, sets, k, percent)
     member = near.select("id", F.col("id").alias("component"))
