@@ -60,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
     verb("plan-show", ("plan", number))
     verb("plan-list")
     verb("export-list")
-    verb("export", ("folder", {}), ("--kind", {"action": "append", "choices": ["manifests", "collections", "reports"]}))
+    verb("export", ("folder", {}), ("--kind", {"action": "append", "choices": ["manifests", "collections", "reports", "mappings", "previews"]}))
     verb("audit-list")
     verb("audit-verify")
     return p

@@ -7,6 +7,7 @@ the drives it catalogues and writes nowhere but below that root and into export
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import uuid
 from functools import cached_property
@@ -20,7 +21,7 @@ from stackroom.operators import audit, browse, curate, identity, merge, planner,
 from stackroom.session import checkpointed
 from stackroom.sinks import exports
 from stackroom.sinks.bundle import bundle
-from stackroom.sources import listing
+from stackroom.sources import discovery, listing
 from stackroom.sources.readings import rate_table
 
 DRIVE_FIELDS = ("nickname", "manufacturer", "model", "media", "purchase_date", "price_cents", "warranty_until", "batch_key", "role", "location", "disaster_zone", "retired_at")
@@ -87,7 +88,7 @@ class Catalog:
         """Add rows to a small table; missing columns are null."""
         columns = [f.split()[0] for f in schema.TABLES[name].split(", ")]
         new = self.spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema.TABLES[name])
-        self.replace(name, self.table(name).unionByName(new))
+        self.tables.append(name, new)
 
     def edit(self, name: str, row_id: int, **values) -> None:
         """Write over fields of one row of a small table."""
@@ -101,7 +102,7 @@ class Catalog:
 
     def record(self, action: str, **detail) -> None:
         log = self.table("audit")
-        self.replace("audit", log.unionByName(audit.append(self.spark, log, self.actor, [(action, detail)], now())))
+        self.tables.append("audit", audit.append(self.spark, log, self.actor, [(action, detail)], now()))
 
     # scope, drives, volumes
 
@@ -216,8 +217,7 @@ class Catalog:
         listed = old.where(F.col("root_id") == root.id).select(F.col("id").alias("dir_id")).union(here.select(F.col("id").alias("dir_id"))).distinct().join(blind.select(F.col("id").alias("dir_id")), "dir_id", "left_anti").join(failed, "dir_id", "left_anti")
         files = merge.tombstone(merged.drop("change"), scan_id, at, listed)
         n = {r.change: r["count"] for r in merged.where("change IS NOT NULL").groupBy("change").count().collect()}
-        self.replace("file", files)
-        self.replace("dir", checkpointed(dirs))
+        self.tables.write_all({"file": files, "dir": dirs.select(old.columns)})
         vanished = self.table("file").where(F.col("vanished_at") == at).count()
         return {"staged": sum(n.values()), "inserted": n.get("inserted", 0), "updated": n.get("updated", 0), "vanished": vanished}
 
@@ -248,7 +248,7 @@ class Catalog:
         found = checkpointed(identity.verify_pass(self.files_with_paths(), self.table("content")))
         base, at = self.next_id("fixity_check"), now()
         rows = found.select((F.monotonically_increasing_id() + base).alias("id"), "file_id", "content_id", F.lit(at).alias("checked_at"), "result", F.lit(None).cast("binary").alias("expected"), "observed")
-        self.replace("fixity_check", self.table("fixity_check").unionByName(checkpointed(rows)))
+        self.tables.append("fixity_check", rows)
         counts = {r.result: r["count"] for r in found.groupBy("result").count().collect()}
         self.record("verify", **counts)
         return counts
@@ -389,6 +389,11 @@ class Catalog:
 
     def score(self, today: str | None = None) -> tuple[DataFrame, DataFrame]:
         """FAIR results and preservation levels of every collection."""
+        e = self._evidence(today)
+        return scorecard.fair_card(e), scorecard.ndsa_levels(scorecard.ndsa_card(e))
+
+    def _evidence(self, today: str | None = None) -> DataFrame:
+        """What the scorecards of every collection go by."""
         today = today or now()[:10]
         rows = self._placed_items()
         check = scorecard.latest_check(self.table("fixity_check"), today)
@@ -399,8 +404,7 @@ class Catalog:
         e = scorecard.evidence(self._members().join(items, "item"), held, d.withColumn("batch", risk.batch_key(d)))
         facts = curate.completeness(self.table("collection")).select(F.col("id").alias("collection"), F.col("local_pid").isNotNull().alias("has_pid"), "missing", (F.length(F.coalesce("license", F.lit(""))) > 0).alias("has_license"))
         relations = self.table("collection_relation").groupBy(F.col("collection_id").alias("collection")).agg(F.count("*").alias("relations"))
-        e = checkpointed(e.join(facts, "collection").join(relations, "collection", "left").fillna(0, ["relations"]))
-        return scorecard.fair_card(e), scorecard.ndsa_levels(scorecard.ndsa_card(e))
+        return checkpointed(e.join(facts, "collection").join(relations, "collection", "left").fillna(0, ["relations"]))
 
     def split(self, dir_id: int) -> DataFrame:
         """Replace a candidate by its child folders, each with its own score."""
@@ -465,7 +469,9 @@ class Catalog:
         for name in schema.TABLES:
             full = f"{database}.stackroom_{name}"
             self.spark.sql(f"DROP TABLE IF EXISTS {full}")
-            self.spark.catalog.createTable(full, f"{self.tables.root}/{name}/{self.tables.current(name)}", "parquet")
+            if len(self.tables.current(name)) > 1:
+                self.replace(name, self.table(name))
+            self.spark.catalog.createTable(full, f"{self.tables.root}/{name}/{self.tables.current(name)[0]}", "parquet")
             self.spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS")
             names.append(full)
         return names
@@ -494,37 +500,125 @@ class Catalog:
             p *= risk.SAME_BATCH ** (len(batches) - len(set(batches))) * risk.SAME_ZONE ** (len(zones) - len(set(zones)))
             return min(p, *(r.afr for r in known))
 
+        rules = {r.dir_id: r for r in self.table("collection_rule").join(self.table("collection").select(F.col("id").alias("collection_id"), "title", "ndsa_target"), "collection_id").collect()}
+        of = lambda unit: rules.get(int(unit[1:])) if unit[0] == "c" else None
         found = [
-            planner.Unit(r.unit, r.bytes, frozenset(r.holders), frozenset(frozenset(s) for s in r.sets), min_copies, p_of(frozenset(r.holders)), {4096: r.footprint_4096, 131_072: r.footprint_131072})
+            planner.Unit(
+                r.unit, r.bytes, frozenset(r.holders), frozenset(frozenset(s) for s in r.sets), planner.target_copies(of(r.unit) and of(r.unit).ndsa_target, min_copies),
+                p_of(frozenset(r.holders)), {4096: r.footprint_4096, 131_072: r.footprint_131072}, of(r.unit) and of(r.unit).collection_id,
+            )
             for r in measures.join(sets, "unit").collect()
-        ]
+        ]
         to = [planner.Destination(r.id, r.room or 0, r.cluster_bytes or planner.DEFAULT_CLUSTER, afr[r.id].batch or "", r.disaster_zone or "", bool(r.excluded)) for r in planner.destinations(self.table("drive"), self.table("volume")).collect()]
         made = planner.refine(found, to, p_of, planner.greedy(found, to, p_of))
-        holders = {u.key: min(u.holders, default=None) for u in found}
-        order = planner.rounds((holders[c.unit], c.drive_id) for c in made.copies)
         i = self.next_id("plan")
-        new_plan = self.spark.createDataFrame([(i, now(), "draft", f'{{"min_copies": {min_copies}}}', f'{{"copies": {len(made.copies)}, "short": {len(made.short)}}}')], schema.TABLES["plan"])
-        steps = [(i, k, "copy", c.unit, c.drive_id, r, c.footprint, ",".join(c.crowds)) for k, (c, r) in enumerate(zip(made.copies, order), 1)]
-        steps += [(i, len(steps) + k, "acquire", u, None, None, None, f"{n} copies short") for k, (u, n) in enumerate(sorted(made.short.items()), 1)]
-        plans, all_steps = planner.store(self.table("plan"), self.table("plan_step"), new_plan, self.spark.createDataFrame(steps, schema.TABLES["plan_step"]))
-        self.replace("plan", plans)
-        self.replace("plan_step", all_steps)
+        steps, summary = self._document(found, to, made, p_of, today)
+        columns = [f.split()[0] for f in schema.TABLES["plan_step"].split(", ")]
+        rows = [tuple(({"plan_id": i, "id": k} | step).get(c) for c in columns) for k, step in enumerate(steps, 1)]
+        policy = {"min_copies": min_copies, "reserve_share": planner.RESERVE_SHARE, "reserve_floor": planner.RESERVE_FLOOR, "batch_and_zone_limit": "target - 1"}
+        new_plan = self.spark.createDataFrame([(i, now(), "draft", json.dumps(policy), json.dumps(summary))], schema.TABLES["plan"])
+        plans, all_steps = planner.store(self.table("plan"), self.table("plan_step"), new_plan, self.spark.createDataFrame(rows, schema.TABLES["plan_step"]))
+        self.tables.write_all({"plan": checkpointed(plans), "plan_step": checkpointed(all_steps)})
         self.record("plan.make", id=i)
         return i
 
-    def export(self, folder: str, kinds: tuple[str, ...] = ("manifests", "collections", "reports")) -> str:
-        """Write a bundle of these kinds into a new folder and record it."""
+    def _document(self, units: list, drives: list, made, p_of, today: str | None) -> tuple[list[dict], dict]:
+        """The steps of a plan, in the order a person takes them, and its figures."""
+        by_key, names = {u.key: u for u in units}, {r.id: r.name for r in self.drive_names().collect()}
+        deltas = planner.risk_deltas(units, made, p_of)
+        source = {u.key: min(u.holders, default=None) for u in units}
+        load: dict[int, int] = {}
+        for c in made.copies:
+            load[c.drive_id] = load.get(c.drive_id, 0) + c.footprint
+        order = sorted(range(len(made.copies)), key=lambda k: (-load[made.copies[k].drive_id], made.copies[k].drive_id, deltas[k]))
+        numbers = planner.rounds((source[made.copies[k].unit], made.copies[k].drive_id) for k in order)
+        dirs = self.table("dir")
+        wanted = self.spark.createDataFrame([(int(c.unit[1:]),) for c in made.copies], "id long").distinct()
+        paths = {r.id: r.path for r in tree.paths(dirs, tree.closure(dirs)).join(wanted, "id", "left_semi").collect()} if made.copies else {}
+        steps = []
+        for number, k in sorted(zip(numbers, order), key=lambda x: x[0]):
+            c, unit, held = made.copies[k], by_key[made.copies[k].unit], source[made.copies[k].unit]
+            shared = f"; shares its {' and '.join(c.crowds[::2])} with another copy" if c.crowds else ""
+            note = f"{unit.copies()} of {unit.target} copies now{shared}" + ("" if held else "; confirm the source drive first")
+            target = "/".join(filter(None, ("copies", exports.safe_folder(names.get(held) or f"drive {held}") if held else "unconfirmed", paths.get(int(c.unit[1:]), "").strip("/"))))
+            steps.append({"kind": "copy", "unit": c.unit, "drive_id": c.drive_id, "round": number, "bytes": unit.bytes, "note": note, "source_drive_id": held, "footprint_bytes": c.footprint, "risk_delta": deltas[k], "collection_id": unit.collection, "dst_path": target})
+        for r in curate.completeness(self.table("collection")).where("missing > 0").orderBy("id").collect():
+            steps.append({"kind": "describe", "collection_id": r.id, "note": f"{r.title}: {r.filled} of {r.filled + r.missing} descriptive fields are filled"})
+        waiting = self.queue().count()
+        if waiting:
+            steps.append({"kind": "review-candidate", "note": f"{waiting} proposed collections wait for a decision"})
+        summary = planner.simulate(units, made, p_of, numbers)
+        if made.short:
+            largest = max(by_key[k].bytes for k in made.short)
+            steps.append({"kind": "acquire", "bytes": summary["short_bytes"], "note": f"{len(made.short)} units lack {summary['short_copies']} copies; the largest has {largest} bytes"})
+        physical = F.concat_ws(":", F.col("volume_id").cast("string"), F.coalesce(F.col("frn").cast("string"), F.concat(F.lit("f"), F.col("id").cast("string"))))
+        same = planner.same_drive_extra(redundancy.placed(self.table("file"), self.table("volume")).withColumn("physical", physical))
+        summary["same_drive_duplicate_bytes"] = {str(r.drive_id): r.extra_bytes for r in same.collect()}
+        if any(u.collection is not None for u in units):
+            card = scorecard.ndsa_card(self._evidence(today)).where(F.col("criterion").isin(*planner.PROJECTED))
+            summary["projection"] = planner.projection(units, made, drives, {(r.collection, r.criterion): r.result for r in card.collect()})
+        return steps, summary
+
+    def _export_root(self, folder: str) -> None:
+        """Refuse a folder inside a root in scope, or on the drive of one unless it is the system's own."""
+        place = os.path.realpath(folder)
+        guids = {r.id: r.volume_guid for r in self.table("volume").collect()}
+        own = discovery.volume_guid_of(place)
+        for r in self.roots().collect():
+            if os.path.commonpath([os.path.realpath(r.path), place]) == os.path.realpath(r.path):
+                raise CatalogError(f"{folder} lies inside {r.path}, which is catalogued")
+            if own is not None and guids.get(r.volume_id) == own != discovery.system_volume_guid():
+                raise CatalogError(f"{folder} is on the same drive as {r.path}, which is catalogued")
+
+    def mapping(self, collection_id: int) -> DataFrame:
+        """``old, new``: each member's path, and a safe one below the collection's own folder."""
+        title = self.table("collection").where(F.col("id") == collection_id).first().title
+        rows = self.files_with_paths().select("id", "path").join(self.members(collection_id).select("id"), "id", "left_semi")
+        parts = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), curate.safe_name)
+        rows = rows.select(F.col("path").alias("old"), F.concat_ws("/", F.lit(exports.safe_folder(title)), F.array_join(parts, "/")).alias("new"), F.col("path").alias("seq"))
+        return curate.name_mapping(rows).select("old", "new")
+
+    def preview_steps(self) -> DataFrame:
+        """``src, dst, recursive, note`` of the newest plan's copies; drives stand by name, as where they are mounted isn't known."""
+        newest = self.table("plan").agg(F.max("id")).first()[0] or 0
+        dirs = self.table("dir")
+        paths = tree.paths(dirs, tree.closure(dirs)).select(F.col("id").alias("dir_id"), "path")
+        names = self.drive_names().select(F.col("id").alias("drive_id"), "name")
+        steps = self.table("plan_step").where((F.col("plan_id") == newest) & (F.col("kind") == "copy"))
+        steps = steps.withColumn("dir_id", F.expr("cast(substring(unit, 2) as bigint)")).join(paths, "dir_id").join(names, "drive_id").orderBy("id")
+        note = F.concat(F.lit("round "), F.col("round").cast("string"), F.lit(": "), F.coalesce("note", F.lit("")))
+        return steps.select(F.col("path").alias("src"), F.concat(F.lit("["), F.col("name"), F.lit("]/"), "dst_path").alias("dst"), (~F.col("unit").startswith("l")).alias("recursive"), note.alias("note"))
+
+    def export(self, folder: str, kinds: tuple[str, ...] = ("manifests", "collections", "reports"), today: str | None = None) -> str:
+        """Write a bundle of these kinds (also ``mappings`` and ``previews``) into a new folder and record it."""
+        self._export_root(folder)
         with bundle(folder, "-".join(kinds)) as b:
             files = self.files_with_paths().drop("drive_id", "media", "device", "_dir")
+            collections = self.table("collection").collect() if {"collections", "mappings", "manifests"} & set(kinds) else []
             if "manifests" in kinds:
-                exports.write_manifests(b, checkpointed(exports.manifest_files(files, self.table("volume"), self.table("content"))))
+                names = {("drive", r.id): r.name for r in self.drive_names().collect()}
+                titles = self.table("collection").select(F.col("id").alias("collection_id"), F.col("title").alias("collection"))
+                filed = self._closure().join(self.table("collection_rule").select(F.col("dir_id").alias("ancestor"), "collection_id"), "ancestor").select(F.col("descendant").alias("dir_id"), "collection_id").join(titles, "collection_id")
+                exports.write_manifests(b, checkpointed(exports.manifest_files(files, self.table("volume"), self.table("content"))), names, filed if collections else None)
             if "collections" in kinds:
                 held = self._placed_items().groupBy("content_id").agg(F.array_sort(F.collect_set("drive_id")).alias("drives"))
-                for c in self.table("collection").collect():
+                related = self.table("collection_relation").collect()
+                for c in collections:
                     rows = files.join(self.members(c.id).select("id"), "id", "left_semi").join(held, "content_id", "left")
-                    exports.write_package(b, c.asDict() | {"creators": (c.creators or "").split(";") if c.creators else []}, rows.select("path", F.col("size_bytes").alias("bytes"), F.col("content_id").alias("hash"), "drives"))
+                    about = c.asDict() | {"creators": [p.strip() for p in (c.creators or "").split(";") if p.strip()]}
+                    exports.write_package(b, about, checkpointed(rows.select("path", F.col("size_bytes").alias("bytes"), F.col("content_id").alias("hash"), "drives")), [r.asDict() for r in related if r.collection_id == c.id], int((today or now())[:4]))
+            if "mappings" in kinds:
+                for c in collections:
+                    exports.write_mapping(b, checkpointed(self.mapping(c.id)), f"mappings/{exports.safe_folder(c.title)}-{c.id}")
             if "reports" in kinds:
-                exports.write_reports(b, {"summary": self.summary(), "duplicates": self.duplicates(), "under_protected": self.under_protected(), "volumes": self.volumes()})
+                cards, levels = self.score(today)
+                newest = self.table("plan").agg(F.max("id")).first()[0] or 0
+                exports.write_reports(b, {
+                    "summary": self.summary(), "duplicates": self.duplicates(), "under_protected": self.under_protected(), "volumes": self.volumes(), "durability": self.durability(today),
+                    "scorecards": cards, "preservation_levels": levels, "plan": self.table("plan_step").where(F.col("plan_id") == newest).orderBy("id"),
+                })
+            if "previews" in kinds:
+                exports.write_previews(b, self.preview_steps())
             record = b.close()
         self.append("export", [{"id": self.next_id("export"), "path": str(b.path), "created_at": now(), "files": len(record["files"]), "bytes": sum(f["bytes"] for f in record["files"])}])
         self.record("export", path=str(b.path))

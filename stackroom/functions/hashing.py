@@ -88,7 +88,9 @@ def by_device(df: DataFrame, full: bool) -> DataFrame:
     for media, readers in READERS.items():
         n = F.when(F.col("media") == media, readers[full]).otherwise(n)
     lane = F.pmod(F.xxhash64("path"), n)
-    return df.withColumn("_lane", lane).repartition("device", "_lane").sortWithinPartitions("device", "_lane", "path").drop("_lane")
+    # File numbers follow the places on a disk more closely than names do.
+    order = [c for c in ("volume_id", "frn", "path") if c in df.columns]
+    return df.withColumn("_lane", lane).repartition("device", "_lane").sortWithinPartitions("device", "_lane", *order).drop("_lane")
 
 
 def stat(path: str) -> tuple[int, int]:

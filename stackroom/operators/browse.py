@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 from operator import and_
 
@@ -31,9 +32,22 @@ def find_like(files: DataFrame, pattern: str, after: int | None = None, limit: i
     return (rows if after is None else rows.where(F.col("id") > after)).orderBy("id").limit(limit)
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Composed Latin letters, lower-case, and what is left of each without its marks."""
+    found = {}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c and c == c.lower():
+            found[c] = bare
+    return "".join(found), "".join(found.values())
+
+
+MARKED, BARE = _plain_letters()
+
+
 def folded(column: Column) -> Column:
-    """Lower case without diacritics, for the marks that composed Latin letters carry."""
-    return F.translate(F.lower(column), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without diacritics, whether a letter is composed with them or followed by them."""
+    return F.translate(F.regexp_replace(F.lower(column), r"\p{Mn}+", ""), MARKED, BARE)
 
 
 def tokens(column: Column) -> Column:
@@ -48,11 +62,11 @@ def search(files: DataFrame, dirs: DataFrame, query: str, after: int | None = No
     if not words:
         return files.limit(0)
 
-    def begins(column: str, word: str) -> Column:
-        return F.exists(tokens(F.col(column)), lambda t: t.startswith(word))
-
     def hit(column: str) -> Column:
-        return reduce(and_, [begins(column, w) for w in words])
+        # Names without the words anywhere go first; the others are cut into words once.
+        anywhere = reduce(and_, [folded(F.col(column)).contains(w) for w in words])
+        every = F.transform(F.array(tokens(F.col(column))), lambda ts: F.forall(F.array(*map(F.lit, words)), lambda w: F.exists(ts, lambda t: t.startswith(w))))
+        return anywhere & F.get(every, F.lit(0))
 
     folders = live(dirs).where(hit("name")).select(F.col("id").alias("dir_id"), F.lit(True).alias("_folder"))
     rows = live(files).join(folders, "dir_id", "left").where(hit("name") | F.col("_folder")).drop("_folder")

@@ -1,13 +1,16 @@
 """The catalog never forgets: merging a scan into it, and tombstones for what was not seen.
 
-Tables are snapshots: a merge is one full outer join and a new snapshot. It is idempotent for
+Tables are snapshots: a merge is one full outer join and a new folder; what only grows is appended to. It is idempotent for
 a scan id, so at-least-once delivery of a micro-batch does no harm.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,39 +117,111 @@ def upsert_drives(drives: DataFrame, seen: DataFrame) -> DataFrame:
     return out.select("id", *[F.coalesce(c, f"_{c}").alias(c) for c in columns if c != "id"])
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed a table since it was read."""
+
+
 class Snapshots:
-    """Tables as immutable snapshot folders and a pointer file; writers make a new one and swap the pointer."""
+    """Tables as immutable folders of Parquet, and a log of commits.
+
+    A commit is a small file below ``_log``: for every table the folders that it consists of. Its
+    number is claimed by creating the file exclusively, so all tables of a commit change at
+    once, and of two writers one comes after the other: appends then add up, and a replacement of
+    what the other has changed is refused. Readers go by the last whole commit.
+    """
+
+    #: Folders of a table, from which on an append writes the table anew as one.
+    MOST_PARTS = 64
+    #: Seconds that a commit may stay unfinished before its writer counts as dead.
+    PATIENCE = 5.0
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.seen: dict[str, list[str] | None] = {}
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
-    def current(self, table: str) -> str | None:
-        pointers = self.fs.globStatus(self._path(table, "_at-*"))
-        names = sorted(str(p.getPath().getName()) for p in pointers or [])
-        return names[-1].split("-", 2)[2] if names else None
+    def _numbers(self) -> list[int]:
+        return sorted(int(str(f.getPath().getName())[:12]) for f in self.fs.globStatus(self._path("_log", "[0-9]*.json")) or [])
+
+    def _load(self, number: int) -> dict[str, list[str]] | None:
+        stream = self.fs.open(self._path("_log", f"{number:012d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            return None
+        finally:
+            stream.close()
+
+    def state(self) -> dict[str, list[str]]:
+        """The folders of every table; an unfinished last commit is waited for, then passed over."""
+        waited = 0.0
+        while True:
+            numbers = self._numbers()
+            if not numbers:
+                return {}
+            found = self._load(numbers[-1])
+            if found is not None:
+                return found
+            if waited >= self.PATIENCE:
+                return next((s for n in reversed(numbers[:-1]) if (s := self._load(n)) is not None), {})
+            time.sleep(0.1)
+            waited += 0.1
+
+    def current(self, table: str) -> list[str] | None:
+        """The folders of a table; None if it isn't there."""
+        return self.state().get(table)
 
     def read(self, table: str) -> DataFrame:
-        name = self.current(table)
-        if name is None:
+        parts = self.seen[table] = self.current(table)
+        if parts is None:
             raise FileNotFoundError(f"no snapshot of {table}")
-        return self.spark.read.parquet(f"{self.root}/{table}/{name}")
+        return self.spark.read.parquet(*(f"{self.root}/{table}/{part}" for part in parts))
 
-    def write(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        """The new snapshot is complete before the pointer names it; readers of the old one aren't disturbed."""
+    def _folder(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
         name = uuid.uuid4().hex
-        writer = df.write if not partition_by else df.write.partitionBy(*partition_by)
-        writer.parquet(f"{self.root}/{table}/{name}")
-        pointers = self.fs.globStatus(self._path(table, "_at-*"))
-        last = max((int(str(p.getPath().getName()).split("-")[1]) for p in pointers or []), default=0)
-        self.fs.create(self._path(table, f"_at-{last + 1:012d}-{name}"), False).close()
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{self.root}/{table}/{name}")
+        return name
+
+    def _commit(self, replaced: dict[str, str], added: dict[str, str]) -> None:
+        while True:
+            number, now = (self._numbers() or [0])[-1] + 1, self.state()
+            for table in replaced:
+                if now.get(table) != self.seen.get(table, now.get(table)):
+                    raise ConcurrentWrite(f"{table} was changed by another writer")
+            new = now | {t: [name] for t, name in replaced.items()} | {t: [*now.get(t, []), name] for t, name in added.items()}
+            path = self._path("_log", f"{number:012d}.json")
+            try:
+                out = self.fs.create(path, False)
+            except Py4JJavaError:
+                if self.fs.exists(path):
+                    continue
+                raise
+            out.write(bytearray(json.dumps(new), "utf-8"))
+            out.close()
+            self.seen |= {t: new[t] for t in (*replaced, *added)}
+            return
+
+    def write(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
+        """Replace a table; readers of the old folders aren't disturbed."""
+        self._commit({table: self._folder(table, df, partition_by)}, {})
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """Replace several tables in one commit: all or none."""
+        self._commit({t: self._folder(t, df) for t, df in tables.items()}, {})
+
+    def append(self, table: str, df: DataFrame) -> None:
+        """Add rows without writing the table anew."""
+        if len(self.current(table) or []) >= self.MOST_PARTS:
+            self.write(table, self.read(table).unionByName(df))
+        else:
+            self._commit({}, {table: self._folder(table, df)})
 
     def purge(self, table: str) -> None:
-        """Delete every snapshot but the current one."""
-        name = self.current(table)
+        """Delete every folder that the table doesn't consist of any more."""
+        parts = self.current(table) or []
         for p in self.fs.listStatus(self._path(table)):
-            if name and name not in str(p.getPath().getName()):
+            if parts and str(p.getPath().getName()) not in parts:
                 self.fs.delete(p.getPath(), True)

@@ -162,7 +162,7 @@ def set_risk(sets: DataFrame, risks: DataFrame, unverified_afr: float, unverifie
     batch count together; so do drives whose zone isn't recorded. An empty set is one unknown drive.
     """
     ordinal = F.array_position(F.array(*[F.lit(c) for c in CONFIDENCE]), F.col("confidence"))
-    facts = F.broadcast(risks.select(F.col("id").alias("_id"), "afr", "batch", "disaster_zone", ordinal.alias("_ord")))  # a drive a row: a dimension
+    facts = risks.select(F.col("id").alias("_id"), "afr", "batch", "disaster_zone", ordinal.alias("_ord"))
     keys = sets.select("drive_ids").distinct()
     per = keys.select("drive_ids", F.explode("drive_ids").alias("_id")).join(facts, "_id")
     rows = per.groupBy("drive_ids").agg(F.sort_array(F.collect_list(F.struct("_id", "afr", "batch", "disaster_zone", "_ord"))).alias("ds"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stackroom.operators import browse, redundancy, tree
 from stackroom.plans import mapping as m
+from stackroom.session import checkpointed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,7 +93,7 @@ def unhashed(spark, sf_dir):
 def redundancy_summary(spark, sf_dir):
     """A7."""
     files = m.files(spark, sf_dir)
-    return redundancy.summary(files, _groups(spark, sf_dir), _singles(spark, sf_dir))
+    return redundancy.summary(files, checkpointed(_groups(spark, sf_dir)), checkpointed(_singles(spark, sf_dir)))
 
 
 @query(

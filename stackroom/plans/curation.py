@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stackroom.operators import curate, merge, planner, redundancy, risk, scorecard, tree
 from stackroom.plans import durability as d
 from stackroom.plans import mapping as m
 from stackroom.plans.catalog import query
+from stackroom.session import checkpointed
 
 EVENT_HALF = """
 half AS (SELECT CAST(floor(count(*) / 2) AS BIGINT) AS h FROM events),
@@ -443,6 +443,8 @@ def plan_rounds(spark, sf_dir):
 
 @query("SELECT id, n FROM (SELECT id, count(*) OVER (PARTITION BY size_bytes) AS n FROM live) WHERE n > 1", m.FILE_SQL)
 def size_sharing(spark, sf_dir):
-    """W1 as a window."""
+    """W1."""
     rows = m.files(spark, sf_dir).where("vanished_at IS NULL")
-    return rows.select("id", F.count("*").over(Window.partitionBy("size_bytes")).alias("n")).where("n > 1")
+    # Counted first, so that a size which very many files have is one row until the join.
+    sizes = rows.groupBy("size_bytes").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(checkpointed(sizes), "size_bytes").select("id", "n")

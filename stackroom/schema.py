@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 
 TABLES = {
     "drive": "id long, serial string, layout_id string, identity string, nickname string, manufacturer string, model string, bus string, media string, capacity_bytes long, purchase_date string, price_cents long, warranty_until string, batch_key string, role string, location string, disaster_zone string, retired_at string",
@@ -29,7 +29,7 @@ TABLES = {
     "version_set": "id long, label string, method string, confidence double, rationale string",
     "version_member": "set_id long, file_id long, content_id string, is_preferred boolean",
     "plan": "id long, created_at string, status string, policy string, summary string",
-    "plan_step": "plan_id long, id long, kind string, unit string, drive_id long, round int, bytes long, note string",
+    "plan_step": "plan_id long, id long, kind string, unit string, drive_id long, round int, bytes long, note string, source_drive_id long, footprint_bytes long, risk_delta double, collection_id long, dst_path string",
     "export": "id long, path string, created_at string, files long, bytes long",
 }
 

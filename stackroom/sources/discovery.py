@@ -40,3 +40,45 @@ def mounted(table: str = "/proc/self/mounts") -> list[tuple]:
 def mounted_volumes(spark: SparkSession) -> DataFrame:
     """The driver's mounts; run it where the drives are."""
     return spark.createDataFrame(mounted(), SCHEMA)
+
+
+def volume_guid_of(path: str, mounts: list[tuple] | None = None) -> str | None:
+    """The volume that a path lies on: that of the longest mount above it."""
+    path = os.path.realpath(path)
+    above = [m for m in (mounted() if mounts is None else mounts) if os.path.commonpath([m[0], path]) == m[0]]
+    return max(above, key=lambda m: len(m[0]))[3] if above else None
+
+
+def system_volume_guid(mounts: list[tuple] | None = None) -> str | None:
+    return volume_guid_of("/", mounts)
+
+
+DISK_SCHEMA = "device string, serial string, model string, media string, capacity_bytes long"
+
+
+def disks(folder: str = "/sys/block") -> list[tuple]:
+    """Disks of a machine as its kernel describes them: serial and model, rotating or not, size; unknown is null."""
+
+    def said(disk: str, *names: str) -> str | None:
+        for name in names:
+            try:
+                with open(os.path.join(folder, disk, name)) as f:
+                    if value := f.read().strip():
+                        return value
+            except OSError:
+                continue
+        return None
+
+    out = []
+    for disk in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+        sectors, rotating, removable = said(disk, "size"), said(disk, "queue/rotational"), said(disk, "removable")
+        if disk.startswith(("loop", "ram", "zram", "dm-")) or not sectors or not int(sectors):
+            continue
+        media = {"1": "hdd", "0": "flash" if removable == "1" else "ssd"}.get(rotating or "")
+        out.append((f"/dev/{disk}", said(disk, "device/serial", "serial"), said(disk, "device/model"), "optical" if disk.startswith("sr") else media, int(sectors) * 512))
+    return out
+
+
+def disk_table(spark: SparkSession, folder: str = "/sys/block") -> DataFrame:
+    """The driver's disks; with ``Catalog.discover`` they are merged by serial."""
+    return spark.createDataFrame(disks(folder), DISK_SCHEMA)

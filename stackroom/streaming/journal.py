@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Callable
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from stackroom.operators import merge
+from stackroom.operators.tree import closure
+from stackroom.session import checkpointed
 from stackroom.sources.binary import JOURNAL_FIELDS, journal_records
 
 
@@ -125,30 +128,103 @@ def journal_stream(spark: SparkSession, path: str, starting_usn: int | None = No
     return (reader if starting_usn is None else reader.option("startingUsn", starting_usn)).load(path)
 
 
-def apply_delta(tables: merge.Snapshots, records: DataFrame, relist: Callable[[DataFrame], DataFrame], scan_id: int, at: str) -> str:
-    """Merge one batch of records into the ``dir`` and ``file`` tables: re-list the touched directories, upsert, tombstone.
+class NeedsFullScan(RuntimeError):
+    """So much has changed that a full scan is the better way, and nobody was there to run it."""
 
-    ``relist(dirs)`` lists directories ``id, path`` and returns staged file rows. Nothing is
-    done twice by running a batch again with its scan id. Returns ``delta``, or ``full`` when
-    so much has changed that a full scan is the better way.
+
+@dataclass
+class Listing:
+    """What listing directories found: staged file rows; their child directories (id, parent_id, frn, name and
+    other columns of ``dir``); and which of them could not be listed (id)."""
+
+    files: DataFrame
+    dirs: DataFrame | None = None
+    failed: DataFrame | None = None
+
+
+def apply_delta(tables: merge.Snapshots, records: DataFrame, relist: Callable[[DataFrame], DataFrame | Listing], scan_id: int, at: str, counters: dict | None = None) -> str:
+    """Merge one batch of records into the ``dir`` and ``file`` tables, in one commit.
+
+    The touched directories are listed again by ``relist(dirs)``. Child directories that the
+    catalog lacks, or that had vanished, are listed as well, level by level, so a new subtree comes in
+    whole. Children that a listing no longer shows vanish with all below them. Below a directory
+    that could not be listed nothing vanishes. Records of directories that the catalog
+    doesn't know are counted only. Nothing is done twice by running a batch again with its scan id.
+    Returns ``delta``, or ``full``, with nothing written, when a full scan is the better way.
     """
-    dirs = tables.read("dir")
-    touched = merge.touched(records).select(F.col("frn").cast("long").alias("frn"))
-    hit = dirs.where("vanished_at IS NULL").join(touched, "frn", "left_semi")
-    n_hit, n_all = hit.count(), dirs.where("vanished_at IS NULL").count()
-    if merge.delta_or_full(n_hit, n_all) == "full":
+    dirs, counters = tables.read("dir"), {} if counters is None else counters
+    alive = dirs.where("vanished_at IS NULL")
+    touched = checkpointed(merge.touched(records).select(F.col("frn").cast("long").alias("frn")))
+    hit = checkpointed(alive.join(touched, "frn", "left_semi"))
+    n_touched, n_all = touched.count(), alive.count()
+    counters |= {"touched": n_touched, "unknown_parents": touched.join(alive, "frn", "left_anti").count(), "new_subtrees": 0, "vanished_dirs": 0}
+    if merge.delta_or_full(n_touched, n_all) == "full":
         return "full"
-    if n_hit:
-        merged = merge.merge_files(tables.read("file"), relist(hit), scan_id).drop("change")
-        tables.write("file", merge.tombstone(merged, scan_id, at, hit.select(F.col("id").alias("dir_id"))))
+    if hit.isEmpty():
+        return "delta"
+    todo, staged, listed, seen = hit, None, None, None
+    join = lambda a, b: b if a is None else a.unionByName(b)
+    while True:
+        found = relist(todo)
+        found = found if isinstance(found, Listing) else Listing(found)
+        staged = join(staged, checkpointed(found.files))
+        ok = todo.select("id") if found.failed is None else todo.select("id").join(found.failed.select("id"), "id", "left_anti")
+        listed = join(listed, ok)
+        if found.dirs is None:
+            break
+        kids = checkpointed(found.dirs)
+        seen = join(seen, kids)
+        todo = checkpointed(kids.join(alive.select("id"), "id", "left_anti"))
+        fresh = todo.count()
+        if not fresh:
+            break
+        # What lies below a new directory is new as well, but one subtree.
+        counters["new_subtrees"] += fresh if listed is ok else 0
+    listed = checkpointed(listed.distinct())
+    scope, changes = listed.select(F.col("id").alias("dir_id")), {}
+    if seen is not None:
+        gone = checkpointed(merge.missing_children(dirs, scope, seen.select(F.col("id").alias("dir_id"))))
+        counters["vanished_dirs"] = gone.count()
+        below = closure(alive.select("id", "parent_id")).join(gone.select(F.col("dir_id").alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias("dir_id")).distinct()
+        below = checkpointed(below.join(seen.select(F.col("id").alias("dir_id")), "dir_id", "left_anti"))
+        scope = scope.union(below)
+        merged = _with_dirs(dirs, seen.dropDuplicates(["id"]), listed, scan_id)
+        lost = below.select(F.col("dir_id").alias("id"), F.lit(True).alias("_lost"))
+        vanished = F.when(F.col("_lost") & F.col("vanished_at").isNull(), at).otherwise(F.col("vanished_at"))
+        changes["dir"] = merged.join(lost, "id", "left").withColumn("vanished_at", vanished).select(dirs.columns)
+    files = merge.merge_files(tables.read("file"), staged, scan_id).drop("change")
+    changes["file"] = merge.tombstone(files, scan_id, at, scope.distinct())
+    tables.write_all(changes)
     return "delta"
 
 
-def follow(records: DataFrame, tables: merge.Snapshots, relist: Callable[[DataFrame], DataFrame], checkpoint: str, first_scan: int = 1, on_full: Callable[[], None] | None = None) -> StreamingQuery:
-    """Run the delta on every micro-batch until the journal is read; the cursor moves only after a batch is merged."""
+def _with_dirs(dirs: DataFrame, seen: DataFrame, listed: DataFrame, scan_id: int) -> DataFrame:
+    """``dirs`` with the directories that listings showed: new ones added, known ones alive again."""
+    both = dirs.alias("o").join(seen.alias("n"), F.col("o.id") == F.col("n.id"), "full_outer")
+    both = both.join(listed.select(F.col("id").alias("_listed")), F.col("_listed") == F.col("o.id"), "left")
+    shown, known = F.col("n.id").isNotNull(), (F.col("n.id").isNotNull() | F.col("_listed").isNotNull())
+    out = []
+    for c in dirs.columns:
+        e = F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in seen.columns else F.col(f"o.{c}")
+        if c == "vanished_at":
+            e = F.when(~shown, F.col("o.vanished_at"))
+        elif c == "last_seen_scan":
+            e = F.when(known, F.lit(scan_id).cast("long")).otherwise(F.col("o.last_seen_scan"))
+        out.append(e.cast(dirs.schema[c].dataType).alias(c))
+    return both.select(*out)
+
+
+def follow(records: DataFrame, tables: merge.Snapshots, relist: Callable[[DataFrame], DataFrame | Listing], checkpoint: str, first_scan: int = 1, on_full: Callable[[], None] | None = None) -> StreamingQuery:
+    """Run the delta on every micro-batch until the journal is read; the cursor moves only after a batch is merged.
+
+    A batch that asks for a full scan gets it from ``on_full``. Without one the stream fails, and
+    its cursor stays before that batch, so no record is lost.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
-        if apply_delta(tables, df, relist, first_scan + n, f"scan {first_scan + n}") == "full" and on_full:
+        if apply_delta(tables, df, relist, first_scan + n, f"scan {first_scan + n}") == "full":
+            if on_full is None:
+                raise NeedsFullScan(f"batch {n} changes most directories")
             on_full()
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
