@@ -43,6 +43,9 @@ TRAIN_DOCS = 2000
 ROUNDS, TOLERANCE = 50, 1e-4
 #: Shape alone never makes a span: what it says for a kind stays this far below "none".
 PRIOR = 4.0
+#: Nor does it say more than this against a kind: repeats lack the very sign (a plus, an at) that the
+#: base pattern asks for, so learning saw such shapes as "none" alone. One fact's agreement outweighs it.
+AGAINST = 6.0
 #: A hidden candidate becomes a span from this marginal probability on.
 ACCEPT = 0.5
 
@@ -223,19 +226,24 @@ def nodes_of(text: str, base: list[Span], hidden_only_if: bool = True) -> list[N
 def skip_edges(nodes: list[Node]) -> list[tuple[int, int]]:
     """Each candidate with the previous one that is the same, and the previous ones that are similar.
 
-    Numbers are similar that end in the same nine digits, or the same seven. Three edges a
-    candidate at most, so a number repeated a thousand times makes a chain.
+    Numbers are similar that end in the same nine digits, or the same seven. A hidden candidate is
+    also joined to the nearest fact on each side that is the same, else similar: every repeat hears
+    of the fact at first hand, as a message over other repeats loses by each one's prior. Five edges
+    a candidate at most, so a number repeated a thousand times makes a chain.
     """
-    edges, last = [], {}
-    for i, n in enumerate(nodes):
-        keys = [n.key]
-        if n.key.isdigit():
-            keys += [n.key[-w:] for w in (9, 7) if len(n.key) >= w]
-        near = {last[k] for k in keys if k in last}
-        edges += [(j, i) for j in sorted(near)]
-        for k in keys:
-            last[k] = i
-    return edges
+    keys = [[n.key, *(n.key[-w:] for w in (9, 7) if n.key.isdigit() and len(n.key) >= w)] for n in nodes]
+    edges, last = set(), {}
+    for i, mine in enumerate(keys):
+        edges.update((last[k], i) for k in mine if k in last)
+        last.update(dict.fromkeys(mine, i))
+    for order in (range(len(nodes)), range(len(nodes) - 1, -1, -1)):
+        facts: dict[str, int] = {}
+        for i in order:
+            if nodes[i].kind is not None:
+                facts.update(dict.fromkeys(keys[i], i))
+            elif (near := next((facts[k] for k in keys[i] if k in facts), None)) is not None:
+                edges.add((min(near, i), max(near, i)))
+    return sorted(edges, key=lambda e: (e[1], e[0]))
 
 
 @dataclass
@@ -255,7 +263,7 @@ def marginals(nodes: list[Node], w: Weights) -> np.ndarray:
             score[i] = -50.0
             score[i, node.kind] = 0.0
         else:
-            score[i, :NONE] = np.minimum(score[i, :NONE], score[i, NONE] - PRIOR)
+            score[i, :NONE] = np.clip(score[i, :NONE], score[i, NONE] - AGAINST, score[i, NONE] - PRIOR)
     unary = np.exp(score - score.max(1, keepdims=True))
     skip = np.where(np.eye(s, dtype=bool), np.exp(w.skip), 1.0)
     chain = np.exp(w.chain)
