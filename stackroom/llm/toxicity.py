@@ -67,12 +67,12 @@ class Model:
     bias: float
 
 
-def find_marks(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float, float, bool]]:
+def find_marks(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, float, float, bool]]:
     """``(mark, likelihood ratio, lift, in no clean one)`` of the marks of toxic documents, the best first, at most ``MARKS``."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = None
     for toxic in (0, 1):
-        part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+        part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = part if some is None else some.union(part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +217,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 25,
     return w[:-1], float(w[-1])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_trained: int = MAX_TRAINED) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row.
 
-    Null text counts as empty; a text without marks gets the classifier's base rate; repeated
+    Marks are found in ``max_labelled`` documents of each class, the classifier is trained on
+    ``max_trained`` of each side. Null text counts as empty; a text of any length is read whole; one without marks gets the classifier's base rate; repeated
     rows get equal scores; a document labelled twice counts as toxic if either label says so;
     without labels of both classes outside the held-out fold every score is 0; an empty table
     gives an empty result; other columns are not read.
@@ -229,7 +230,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     fold = held_out(F.col("doc_id")).alias("held_out")
-    marks = find_marks(docs, labels)
+    marks = find_marks(docs, labels, max_labelled)
     if not marks:
         return docs.select("doc_id", fold, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     voter = deal_voters(marks)
@@ -246,7 +247,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     soft = voted.join(F.broadcast(table), "votes").where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     sides, size = [], {}
     for side, part in (("toxic", F.col("p") >= 0.5), ("clean", F.col("p") < 0.5)):
-        got = soft.where(part).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MAX_TRAINED).select("cols", "counts", "p", "votes").collect()
+        got = soft.where(part).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_trained).select("cols", "counts", "p", "votes").collect()
         size[side] = sum(m for v, m in zip(votes.tolist(), n) if (post[v] >= 0.5) == (side == "toxic"))
         sides += [(r.cols, r.counts, r.p, size[side] / max(len(got), 1), r.votes.bit_count()) for r in got]
     x = np.zeros((len(sides), len(marks) + 3))
