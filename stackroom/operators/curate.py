@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackroom.schema import live
+from stackroom.session import checkpointed
 
 # What marks a version at the end of a name.
 SEP = r"[ _.\-]*"
@@ -224,33 +225,44 @@ def safe_name(part: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(part, "[<>:\"\\\\|?*\\x00-\\x1f]", "_")), F.lit("")), F.lit("_"))
 
 
+def _family(low: Column) -> Column:
+    """What a lower-cased path and all its suffixed forms have in common."""
+    leaf = F.regexp_extract(low, r"([^/]*)\z", 1)
+    dotted = F.regexp_replace(leaf, r"\A\.+", "").contains(".")
+    ext = F.when(dotted, F.regexp_extract(leaf, r"(\.[^.]*)\z", 1)).otherwise("")
+    bare = F.regexp_replace(F.substr(low, F.lit(1), F.char_length(low) - F.char_length(ext)), r"( \(\d+\))+\z", "")
+    return F.struct(bare.alias("bare"), ext.alias("ext"))
+
+
 def name_mapping(rows: DataFrame, new: str = "new") -> DataFrame:
     """Give clashing new paths (case aside) the suffixes `` (2)``, `` (3)`` in the order of ``seq``, one to one.
 
-    A suffixed path that hits an existing one moves on until it is free. Clashes are resolved
-    within a folder, so a task holds one folder's names, never a whole collection's.
+    A suffixed path that hits an existing one moves on until it is free. Only paths that are equal
+    but for such suffixes can meet, so a task holds the forms of one name in one folder, in time
+    in proportion to them, and names that nothing clashes with never leave the JVM.
     """
-    folder = F.regexp_extract(F.col(new), r"(?s)^(.*)/[^/]*$", 1)
-    out = rows.withColumn("_folder", F.lower(folder))
-    sizes = out.groupBy(F.lower(new).alias("_low")).agg(F.count("*").alias("_n"))
-    marked = out.withColumn("_low", F.lower(new)).join(sizes, "_low")
-    clash = marked.where("_n > 1").select("_folder").distinct()
-    calm = marked.join(clash, "_folder", "left_anti").drop("_folder", "_low", "_n")
-    busy = marked.join(clash, "_folder", "left_semi").drop("_low", "_n")
+    low = F.lower(new)
+    sizes = rows.groupBy(low.alias("_low")).agg(F.count("*").alias("_n")).where("_n > 1")
+    clash = checkpointed(sizes.select(_family(F.col("_low")).alias("_family")).distinct())
+    marked = rows.withColumn("_family", _family(low))
+    calm = marked.join(clash, "_family", "left_anti").drop("_family")
+    busy = marked.join(clash, "_family", "left_semi")
     schema = calm.schema
 
     def resolve(pdf):
-        taken, fixed = set(), []
+        taken, fixed, following = set(), [], {}
         pdf = pdf.sort_values("seq")
         for path in pdf[new]:
             head, slash, leaf = path.rpartition("/")
             stem, dot, ext = leaf.rpartition(".") if "." in leaf.lstrip(".") else (leaf, "", "")
-            candidate, n = path, 2
+            # What was taken stays taken: the search goes on where it ended for the same name.
+            candidate, n = path, following.get(path.lower(), 2)
             while candidate.lower() in taken:
                 candidate, n = f"{head}{slash}{stem} ({n}){dot}{ext}", n + 1
+            following[path.lower()] = n
             taken.add(candidate.lower())
             fixed.append(candidate)
         pdf[new] = fixed
         return pdf[[f.name for f in schema]]
 
-    return calm.unionByName(busy.groupBy("_folder").applyInPandas(resolve, schema))
+    return calm.unionByName(busy.groupBy("_family").applyInPandas(resolve, schema))

@@ -1,4 +1,4 @@
-"""``directory_listing``: a data source that walks a directory tree, one partition per top subtree.
+"""``directory_listing``: a data source that walks a directory tree, in partitions of one subtree or one folder.
 
 Links and reparse points are rows but are never entered; a directory that can't be listed is
 one row with an error. Files are opened by nobody here.
@@ -20,6 +20,10 @@ from stackroom.functions.predicates import glob_regex
 SCHEMA = "dir string, name string, is_dir boolean, attributes long, size long, alloc_size long, mtime_ns long, ctime_ns long, file_id long, nlink int, stat_failed boolean, error string"
 
 
+#: Subtrees that the driver cuts a tree into, if it has so many folders. It opens so many folders at most.
+SUBTREES = 128
+
+
 def pruner(root: str, patterns: list[str]):
     """Whether an entry is left out: patterns with a separator match the path below the root, others the name."""
     names = [re.compile(glob_regex(p)) for p in patterns if "/" not in p and "\\" not in p]
@@ -60,6 +64,15 @@ def list_directory(path: str, prune=nothing) -> Iterator[tuple]:
         yield path, name, folder, attributes, s.st_size, s.st_blocks * 512, s.st_mtime_ns, s.st_ctime_ns, s.st_ino, s.st_nlink, False, None
 
 
+def folders(path: str, prune=nothing) -> list[str]:
+    """The folders of one directory, links left out; none of one that can't be listed, which its reader reports."""
+    try:
+        with os.scandir(path) as found:
+            return sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and not prune(path, e.name))
+    except OSError:
+        return []
+
+
 def walk(root: str, prune=nothing, deep: bool = True) -> Iterator[tuple]:
     """Breadth-first rows below ``root``."""
     queue = deque([root])
@@ -85,8 +98,12 @@ class _Reader(DataSourceReader):
         return pruner(self.root, self.patterns)
 
     def partitions(self):
-        tops = [os.path.join(r[0], r[1]) for r in list_directory(self.root, self.prune) if r[2] and r[1] and not r[3] & 0x400]
-        return [_Subtree(self.root, False), *(_Subtree(t, True) for t in tops)]
+        """Folders from the root down, each by itself, until ``SUBTREES`` below them are left to walk."""
+        prune, opened, below = self.prune, [], deque([self.root])
+        while below and len(opened) < SUBTREES and len(below) < SUBTREES:
+            opened.append(below.popleft())
+            below.extend(folders(opened[-1], prune))
+        return [*(_Subtree(p, False) for p in opened), *(_Subtree(p, True) for p in below)]
 
     def read(self, partition):
         yield from walk(partition.path, self.prune, partition.deep)

@@ -7,6 +7,10 @@ cursor still describes the journal: the same id, no record between the cursor an
 unread page or between pages, and no cursor ahead of the journal; else it raises, and the
 caller runs a full scan. Without ``journal.state`` there is no id, and a recreated journal shows
 only by its USNs.
+
+The driver reads the pages; with ``recordsPerBatch`` it holds no more records than that and one
+page's, and a batch may end within a page. A query with the trigger ``availableNow`` is one such
+batch; ``follow_all`` runs them until the journal is read.
 """
 
 from __future__ import annotations
@@ -52,6 +56,9 @@ def state(path: str) -> tuple[int, int, int] | None:
 class _Stream(SimpleDataSourceStreamReader):
     def __init__(self, options):
         self.path, self.first = options["path"], int(options.get("startingUsn", "-1"))
+        self.most = int(options["recordsPerBatch"]) if "recordsPerBatch" in options else None
+        if self.most is not None and self.most < 1:
+            raise ValueError("recordsPerBatch is at least 1")
 
     def initialOffset(self):  # noqa: N802
         found, now = pages(self.path), state(self.path)
@@ -62,7 +69,7 @@ class _Stream(SimpleDataSourceStreamReader):
         return {"usn": start, "journal": now[0] if now else None}
 
     def _from(self, start: dict, end: dict | None = None):
-        """Records from one offset to another or the last page, and the offset behind them."""
+        """Records from one offset to another, or to the batch size or the last page, and the offset behind them."""
         # The pages are listed before the state is read: a journal recreated in between shows by its id.
         found, now = pages(self.path), state(self.path)
         at, known, stop = start["usn"], start.get("journal"), None if end is None else end["usn"]
@@ -76,8 +83,9 @@ class _Stream(SimpleDataSourceStreamReader):
         elif known is not None:
             raise JournalGap(f"the state of journal {known} is gone")
         rows, last = [], None
+        full = lambda: stop is None and self.most is not None and len(rows) >= self.most
         for first, name in found:
-            if stop is not None and at >= stop:
+            if full() or (stop is not None and at >= stop):
                 break
             with open(name, "rb") as f:
                 following = struct.unpack("<q", f.read(8))[0]
@@ -91,6 +99,9 @@ class _Stream(SimpleDataSourceStreamReader):
                 buffer = f.read()
             rows += [(Decimal(r[0]), Decimal(r[1]), *r[2:]) for r in journal_records(buffer, 0) if r[4] >= at and (stop is None or r[4] < stop)]
             at = following
+        if full() and len(rows) > self.most:
+            # The next batch begins at the first record left over: USNs grow, and none is given twice.
+            at, rows = rows[self.most][4], rows[: self.most]
         if last is not None and at > last and (stop is None or at < stop):
             raise JournalGap(f"the cursor {at} is ahead of the journal, whose pages end at {last}")
         if stop is not None and at < stop:
@@ -122,10 +133,12 @@ class ChangeJournal(DataSource):
         return _Stream(self.options)
 
 
-def journal_stream(spark: SparkSession, path: str, starting_usn: int | None = None) -> DataFrame:
+def journal_stream(spark: SparkSession, path: str, starting_usn: int | None = None, records_per_batch: int | None = None) -> DataFrame:
     spark.dataSource.register(ChangeJournal)
     reader = spark.readStream.format("change_journal")
-    return (reader if starting_usn is None else reader.option("startingUsn", starting_usn)).load(path)
+    for option, value in (("startingUsn", starting_usn), ("recordsPerBatch", records_per_batch)):
+        reader = reader if value is None else reader.option(option, value)
+    return reader.load(path)
 
 
 class NeedsFullScan(RuntimeError):
@@ -230,6 +243,22 @@ def follow(records: DataFrame, tables: merge.Snapshots, relist: Callable[[DataFr
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Fixed value: records after which a scan's progress is stored.
+RECORDS_PER_BATCH = 50_000
+
+
+def follow_all(spark: SparkSession, path: str, tables: merge.Snapshots, relist: Callable[[DataFrame], DataFrame | Listing], checkpoint: str, starting_usn: int | None = None, records_per_batch: int = RECORDS_PER_BATCH, first_scan: int = 1, on_full: Callable[[], None] | None = None) -> int:
+    """``follow`` in batches of at most ``records_per_batch`` until a query finds nothing more; how many it took."""
+    batches = 0
+    while True:
+        query = follow(journal_stream(spark, path, starting_usn, records_per_batch), tables, relist, checkpoint, first_scan, on_full)
+        query.awaitTermination()
+        done = {p["batchId"] for p in query.recentProgress if p["sources"] and p["sources"][0]["startOffset"] != p["sources"][0]["endOffset"]}
+        if not done:
+            return batches
+        batches += len(done)
+
+
 def live_tree(records: DataFrame) -> DataFrame:
     """Streaming last record per file number, in update mode."""
     last = F.max_by(F.struct("parent_frn", "name", "attributes", "reason"), "usn").alias("r")

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import struct
 from collections import Counter
 
 import pytest
@@ -10,7 +11,7 @@ import pytest
 from stackroom.catalog import Catalog, CatalogError
 from stackroom.operators import browse, curate, merge, planner
 from stackroom.sinks import bundle, exports
-from stackroom.sources import discovery
+from stackroom.sources import discovery, listing
 from stackroom.streaming import journal
 
 GIB = 1 << 30
@@ -244,3 +245,88 @@ def test_exports_stay_off_catalogued_drives(spark, tmp_path, monkeypatch):
     assert any(n.startswith("mappings/Lake-1/inverse/") for n in names) and any(n.startswith("csv/durability/") for n in names)
     listed = [json.loads(line) for n in names if n.startswith("files/kind=drive/ident=1/") for line in open(f"{path}/{n}")]
     assert [r["path"].rpartition("/")[2] for r in listed] == ["a b.txt"]
+
+
+def record(frn, parent, name, usn):
+    raw = name.encode("utf-16-le")
+    length = -(-(60 + len(raw)) // 8) * 8
+    body = struct.pack("<IHHQQqqIIIIHH", length, 2, 0, frn, parent, usn, 116_444_736_000_000_000, 1, 0, 0, 0x20, len(raw), 60)
+    return (body + raw).ljust(length, b"\0")
+
+
+def test_journal_batches_end_within_a_page_and_lose_nothing(spark, tmp_path):
+    (tmp_path / "100.bin").write_bytes(struct.pack("<q", 160) + b"".join(record(u, 11, "a", u) for u in range(100, 160, 10)))
+    (tmp_path / "160.bin").write_bytes(struct.pack("<q", 200))
+    (tmp_path / "200.bin").write_bytes(struct.pack("<q", 230) + b"".join(record(u, 11, "a", u) for u in (200, 210, 220)))
+    for most in (1, 2, 4, 6, 9, 100):
+        stream = journal._Stream({"path": str(tmp_path), "recordsPerBatch": str(most)})
+        at, seen = stream.initialOffset(), []
+        while True:
+            rows, end = stream.read(at)
+            got = [r[4] for r in rows]
+            assert len(got) <= most and got == [r[4] for r in stream.readBetweenOffsets(at, end)]
+            seen += got
+            if end == at:
+                break
+            at = end
+        assert seen == [*range(100, 160, 10), 200, 210, 220] and at["usn"] == 230
+    with pytest.raises(ValueError):
+        journal._Stream({"path": str(tmp_path), "recordsPerBatch": "0"})
+
+
+def test_follow_all_reads_to_the_end_in_batches(spark, tmp_path):
+    pages = tmp_path / "journal"
+    pages.mkdir()
+    (pages / "0.bin").write_bytes(struct.pack("<q", 70) + b"".join(record(90 + u, 11 + u // 10 % 3, f"f{u}", u) for u in range(0, 70, 10)))
+    tables = merge.Snapshots(spark, f"file://{tmp_path}/catalog")
+    tables.write("dir", spark.createDataFrame([(k, 10 + k, f"d{k}", None) for k in range(1, 20)], "id long, frn long, name string, vanished_at string"))
+    cols = "id long, dir_id long, name string, size_bytes long, mtime_ns long, content_id string, read_state string, first_seen_scan long, last_seen_scan long, vanished_at string"
+    tables.write("file", spark.createDataFrame([], cols))
+    asked = []
+
+    def relist(hit):
+        ids = sorted(r.id for r in hit.select("id").collect())
+        asked.append(ids)
+        return spark.createDataFrame([(100 + i, i, f"n{i}", 1, 1, "ok") for i in ids], "id long, dir_id long, name string, size_bytes long, mtime_ns long, read_state string")
+
+    run = lambda: journal.follow_all(spark, str(pages), tables, relist, f"{tmp_path}/ck", 0, 3, first_scan=2)
+    assert run() == 3 and asked == [[1, 2, 3], [1, 2, 3], [1]]
+    assert sorted((r.dir_id, r.name) for r in tables.read("file").where("vanished_at IS NULL").collect()) == [(1, "n1"), (2, "n2"), (3, "n3")]
+    assert run() == 0 and len(asked) == 3
+
+
+def test_one_top_folder_is_cut_into_many_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "SUBTREES", 8)
+    for a in range(3):
+        for b in range(4):
+            for c in range(2):
+                (tmp_path / "top" / f"a{a}" / f"b{b}" / f"c{c}").mkdir(parents=True)
+                (tmp_path / "top" / f"a{a}" / f"b{b}" / f"c{c}" / "f.txt").write_text("x")
+    (tmp_path / "top" / "a0" / "skip").mkdir()
+    os.symlink(tmp_path, tmp_path / "top" / "loop")
+    reader = listing._Reader({"path": str(tmp_path), "prune": "skip"})
+    parts = reader.partitions()
+    assert 8 <= len(parts) <= 24
+    rows = sorted(r[:3] for p in parts for r in reader.read(p))
+    assert rows == sorted(r[:3] for r in listing.walk(str(tmp_path), reader.prune)) and len(rows) == len(set(rows)) == 1 + 3 + 1 + 12 + 24 + 24
+    gone = listing._Reader({"path": str(tmp_path / "none")})
+    assert [bool(r[11]) for p in gone.partitions() for r in gone.read(p)] == [True]
+
+
+def test_name_mapping_equals_one_pass_over_all_names(spark):
+    rng, taken, want, rows = random.Random(5), set(), {}, []
+    leaves = ["a.txt", "A.txt", "a (2).txt", "a (2) (2).txt", "a (3).TXT", "b", "b (2)", "B", ".x", ".x (2)", ".x.y", "a.b.c", "a.b (2).c", "...", "... (2)", "e.", "e (2).", "n\nl.t", "n\nl (2).t"]
+    for seq in range(400):
+        rows.append((seq, f"{rng.choice(['', 'd/', 'D/', 'd/e.f/'])}{rng.choice(leaves)}"))
+    for seq, path in rows:
+        folder, slash, leaf = path.rpartition("/")
+        cut = leaf.rfind(".") if "." in leaf.lstrip(".") else len(leaf)
+        name, n = path, 2
+        while name.lower() in taken:
+            name, n = f"{folder}{slash}{leaf[:cut]} ({n}){leaf[cut:]}", n + 1
+        taken.add(name.lower())
+        want[seq] = name
+    got = {r.seq: r.new for r in curate.name_mapping(spark.createDataFrame(rows, "seq long, new string").repartition(5)).collect()}
+    assert got == want
+    many = curate.name_mapping(spark.range(20_000).selectExpr("id AS seq", "'d/x.jpg' AS new"))
+    assert many.select("new").distinct().count() == 20_000
