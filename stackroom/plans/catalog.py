@@ -93,7 +93,9 @@ def unhashed(spark, sf_dir):
 def redundancy_summary(spark, sf_dir):
     """A7."""
     files = m.files(spark, sf_dir)
-    return redundancy.summary(files, checkpointed(_groups(spark, sf_dir)), checkpointed(_singles(spark, sf_dir)))
+    # What is written holds the columns that are read, so no other expression of the view is computed.
+    singles = _singles(spark, sf_dir).select("id", "size_bytes")
+    return redundancy.summary(files, checkpointed(_groups(spark, sf_dir)), checkpointed(singles))
 
 
 @query(
