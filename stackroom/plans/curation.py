@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from stackroom.operators import curate, merge, planner, redundancy, risk, scorecard, tree
@@ -242,7 +244,8 @@ def _items(spark, sf_dir):
 def coverage_buckets(spark, sf_dir):
     """A17, C8, D9, J14, T19."""
     _, items, members = _items(spark, sf_dir)
-    items = items.withColumn("p_loss", F.lit(0.015) * F.greatest(F.lit(1), F.lit(4) - F.col("drives")))
+    # A decimal, as in SQL: sums of doubles miss halves, and their last digits hang on the order of the rows.
+    items = items.withColumn("p_loss", F.lit(Decimal("0.015")) * F.greatest(F.lit(1), F.lit(4) - F.col("drives")))
     rows = curate.coverage_buckets(items.select("item", "size_bytes", "drives", "p_loss"), members)
     return rows.withColumn("expected", F.round("expected").cast("long"))
 
