@@ -17,7 +17,7 @@ import logging
 import re
 import unicodedata
 import zlib
-from bisect import insort
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -157,12 +157,18 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
-def _knapsack(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, list[int]]:
-    """The pattern (how many of each size) of largest value that fits; one round for each piece more."""
+def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The largest value of a pattern (how many of each size) that fits, and patterns: first the one
+    of that value, then for each size the best that holds it. One round for each piece more.
+    """
     best, took = np.zeros(capacity + 1), []
+    order = np.argsort(sizes, kind="stable")
+    # A size that no smaller one equals in value; the others are in no better pattern.
+    useful = order[values[order] > np.maximum.accumulate(np.append(0, values[order]))[:-1]].tolist()
     while True:
         more, choice = best.copy(), np.full(capacity + 1, -1)
-        for k, s in enumerate(sizes):
+        for k in useful:
+            s = sizes[k]
             value = best[: capacity + 1 - s] + values[k]
             better = value > more[s:] + 1e-12
             more[s:][better] = value[better]
@@ -171,45 +177,60 @@ def _knapsack(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[floa
             break
         took.append(choice)
         best = more
-    pattern, c = [0] * len(sizes), capacity
+    m = len(sizes)
+    patterns, room = np.vstack([np.zeros((1, m)), np.eye(m)]), np.append(capacity, capacity - sizes)
     for choice in reversed(took):
-        if choice[c] >= 0:
-            pattern[choice[c]] += 1
-            c -= sizes[choice[c]]
-    return best[capacity], pattern
+        rows = np.flatnonzero(choice[room] >= 0)
+        k = choice[room[rows]]
+        patterns[rows, k] += 1
+        room[rows] -= sizes[k]
+    return best[capacity], patterns
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, max_rounds: int = 5000) -> list[tuple[list[int], int]]:
     """Patterns and whole multiplicities covering at most the demand: the linear program's solution rounded down.
 
     Columns are added until what they cost is within half a sequence of a lower bound, the
-    value of the duals scaled down to what any pattern allows. ``max_rounds`` only guards against
-    a program that circles; reaching it is logged with the gap that is left.
+    value of the duals scaled down to what any pattern allows. A round of pricing gives a pattern
+    for each size, and those that still pay enter the basis one after another before the next.
+    ``max_rounds`` only guards against a program that circles; reaching it is logged with the gap
+    that is left.
     """
-    m = len(sizes)
-    patterns = [[capacity // s if k == j else 0 for j, _ in enumerate(sizes)] for k, s in enumerate(sizes)]
-    basis = np.array(patterns, float).T
-    amount, least = np.linalg.solve(basis, np.array(demand, float)), 0.0
+    m, size, ask = len(sizes), np.array(sizes), np.array(demand, float)
+    basis, pool, least = np.diag(capacity // size).astype(float), np.empty((0, m)), 0.0
+    # Kept by updates, and computed anew where they have drifted: the library's threads for it spin on long after.
+    inverse = np.diag(1 / np.diag(basis))
     for turn in range(max_rounds):
-        duals = np.maximum(np.linalg.solve(basis.T, np.ones(m)), 0)
-        value, pattern = _knapsack(duals, sizes, capacity)
-        least = max(least, float(duals @ np.array(demand, float)) / max(value, 1.0))
+        amount, duals = np.maximum(np.linalg.solve(basis, ask), 0), np.linalg.solve(basis.T, np.ones(m))
+        if np.abs(inverse.sum(axis=0) - duals).max() > 1e-7:
+            inverse = np.linalg.inv(basis)
+        value, found = _knapsack(np.maximum(duals, 0), size, capacity)
+        least = max(least, float(np.maximum(duals, 0) @ ask) / max(value, 1.0))
         if value <= 1 + 1e-9 or amount.sum() - least < 0.5:
             break
         if turn == max_rounds - 1:
             logging.getLogger(__name__).warning("packing: stopped with %.1f sequences over the lower bound of %.1f", amount.sum() - least, least)
-        move = np.linalg.solve(basis, np.array(pattern, float))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(move > 1e-9, amount / move, np.inf)
-        k = int(np.argmin(ratio))
-        if not np.isfinite(ratio[k]):
+        pool = np.vstack([found, pool[: 3 * m]])  # patterns of earlier rounds can pay again
+        for step in range(2 * m):
+            worth = np.einsum("ij,j->i", pool, duals)  # such small products aren't worth threads either
+            column = pool[int(np.argmax(worth))]
+            move = np.einsum("ij,j->i", inverse, column)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(move > 1e-9, amount / move, np.inf)
+            k = int(np.argmin(ratio))
+            if worth.max() <= 1 + 1e-9 or not np.isfinite(ratio[k]):
+                break
+            amount = np.maximum(amount - ratio[k] * move, 0)
+            amount[k] = ratio[k]
+            basis[:, k] = column
+            row = inverse[k] / move[k]
+            inverse -= np.outer(move, row)
+            inverse[k] = row
+            duals = inverse.sum(axis=0)
+        if step == 0:
             break
-        amount = amount - ratio[k] * move
-        amount[k] = ratio[k]
-        amount = np.maximum(amount, 0)
-        patterns[k], basis[:, k] = pattern, pattern
     out, left = [], list(demand)
-    for p, a in sorted(zip(patterns, amount), key=lambda x: -x[1]):
+    for p, a in sorted(zip(basis.T.astype(int).tolist(), amount.tolist()), key=lambda x: -x[1]):
         n = min([int(a + 1e-6), *(left[k] // p[k] for k in range(m) if p[k])])
         if n > 0:
             out.append((p, n))
@@ -286,7 +307,7 @@ def grouped_plan(counts: dict[int, int], capacity: int, groups: int, large: floa
     for ln in sorted(counts, reverse=True):  # what the rounding left, then the small ones
         left = counts[ln] - used[ln]
         while left:
-            lo = np.searchsorted([r for r, _, _ in open_], ln)
+            lo = bisect_left(open_, (ln,))
             if lo == len(open_):
                 per = capacity // ln
                 many = -(-left // per)
