@@ -6,14 +6,19 @@ executor and the driver see, so a lost executor costs a re-read and never data.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackroom.session import shared_dir
 
 
+#: Edges that the driver may join by itself (4 MB); more go through rounds of joins.
+FEW_EDGES = 1 << 18
 #: Rows of an Arrow batch: texts are long, and a batch lies in memory on both sides.
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
@@ -47,6 +52,11 @@ class Scratch:
                 if self.root.split("://")[-1].lstrip("/") in f:
                     self._delete(f)
 
+    def release(self) -> None:
+        """Let Spark drop the broadcasts and shuffle files of what has ended: it does so only after a collection on the driver."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -62,10 +72,27 @@ class Scratch:
         return out
 
 
-def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def joined_on_driver(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges ``a``-``b``, and for each the smallest that it is joined with."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(a):
+        # Every root with a smaller neighbour hangs on its least one; at least half of them go.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return ids, ids[root]
+
+
+def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(id, component)`` per vertex, component its smallest id.
 
-    Alternating large-star and small-star steps; each round is two aggregations over the
+    Up to ``few`` edges are joined on the driver: rounds of joins make thousands of tasks of
+    them, and the driver remembers every task. More take alternating large-star and small-star
+    steps; each round is two aggregations over the
     edges alone, and rounds grow with the logarithm of the longest path. The edge count
     never grows, so a star of a third of all vertices stays linear. The least neighbours are
     written before they are joined: then adaptive execution can split the centre of a star,
@@ -74,6 +101,11 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64) -> Data
     edges = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    if edges.count() <= few:
+        found = edges.toArrow()
+        ids, component = joined_on_driver(found["u"].to_numpy(), found["v"].to_numpy())
+        scratch.drop(edges)
+        return scratch.keep(scratch.spark.createDataFrame(pa.table({"id": ids, "component": component}), "id long, component long"))
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = prefix_lists(scratch, every, F.col("n"), exact)
     lists = scratch.keep(linkable(scratch, prefixes, percent))
     scratch.drop(every)
+    scratch.release()
 
     links = _Links(scratch, sketch, sets, k, percent)
     member = near.select("id", F.col("id").alias("component"))
@@ -213,6 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = _side(at, "b").join(_side(lead, "a").hint("merge"), "v").where((F.col("c_a") != F.col("c_b")) & _can_link("a", "b"))
         links.confirm(pairs.select("a", "b").distinct())
         member = scratch.keep(_membership(near, components(scratch, links.found)))
+        scratch.release()
     at = scratch.keep(lists.join(member, "id"))
     apart = scratch.keep(at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v"))
     at = scratch.keep(at.join(apart.hint("merge"), "v"))
